@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, quality_rules, token_records
+from . import fingerprints, near_dedup, quality_rules, substring_dedup, token_records
 from .common import scratch_path, table
 
 
@@ -24,9 +24,17 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, files)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op9_fingerprints)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op7_near_dedup, op9_fingerprints, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
