@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, quality_rules, substring_dedup, token_records
+from . import fingerprints, near_dedup, quality_knn, quality_rules, substring_dedup, token_records, toxicity
 from .common import scratch_path, table
+from .labelled import remainder
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -24,10 +26,22 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, files)
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_knn.score(docs, quality_knn.fit(docs, labels.where(remainder(5) != 0)))
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(remainder(3) != 1)))
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -36,5 +50,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op7_near_dedup, op9_fingerprints, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op3_quality_knn, op7_near_dedup, op8_toxicity, op9_fingerprints, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
