@@ -60,19 +60,34 @@ def may_hold(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def likely(rows: DataFrame, key: str, held: Broadcast) -> DataFrame:
-    """``rows`` without those whose long column ``key`` the bitmap rules out (null: kept)."""
+def _by_bitmap(rows: DataFrame, key: str, held: Broadcast, wanted: bool) -> DataFrame:
     place = rows.columns.index(key)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(place)
-            ok = may_hold(held.value, pc.fill_null(column, 0).to_numpy(zero_copy_only=False)) | column.is_null().to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(ok))
+            maybe = may_hold(held.value, pc.fill_null(column, 0).to_numpy(zero_copy_only=False)) | column.is_null().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(maybe == wanted))
 
     return rows.mapInArrow(keep, rows.schema)
 
 
+def likely(rows: DataFrame, key: str, held: Broadcast) -> DataFrame:
+    """``rows`` without those whose long column ``key`` the bitmap rules out (null: kept)."""
+    return _by_bitmap(rows, key, held, True)
+
+
+def unlikely(rows: DataFrame, key: str, held: Broadcast) -> DataFrame:
+    """The rows that ``likely`` leaves out."""
+    return _by_bitmap(rows, key, held, False)
+
+
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in the one column of ``ids``, thinned before the join's shuffle."""
     return likely(rows, key, bitmap(ids)).join(ids.toDF(key).where(F.col(key).isNotNull()), key, "left_semi")
+
+
+def anti(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not in the one column of ``ids``; most are not shuffled."""
+    held = bitmap(ids)
+    return unlikely(rows, key, held).unionByName(likely(rows, key, held).join(ids.toDF(key), key, "left_anti"))

@@ -145,3 +145,19 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(x))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Neighbours, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ShapedWords()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                x = np.stack([counts(t.as_py(), words) for t in b.column(place)])
+                yield b.filter(pa.array(held.value.score(x) >= least))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, quality_knn, quality_rules, substring_dedup, token_records, toxicity
+from . import fingerprints, license_scan, mixing, near_dedup, packing, quality_knn, quality_rules, substring_dedup, token_records, toxicity
 from .common import scratch_path, table
 from .labelled import remainder
 
@@ -32,6 +32,20 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", F.col("mix_tokens").alias("n_words"), F.col("mix_copies").alias("copies"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.transform("matches", lambda m: m["template"]), ",")
+    return found.select("doc_id", F.size("matches").alias("n_matches"), names.alias("licenses"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best_containment"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +64,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op3_quality_knn, op7_near_dedup, op8_toxicity, op9_fingerprints, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_records, op3_quality_knn, op4_mixing, op5_license_scan, op6_packing, op7_near_dedup, op8_toxicity, op9_fingerprints, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, likely, may_hold
+from .bitmaps import bitmap, likely, may_hold, unlikely
 from .common import WordHashes, materialise, sequence_hashes
 
 WINDOW, GRAM, SLICE = 20, 8, 20_000
@@ -296,9 +296,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Documents that lose no word keep their text as it is.
     """
     seq, runs = repeats(docs)
-    changed = kept_words(docs, runs).where("n_removed > 0").dropDuplicates(["sid"]).select("sid", "kept")
+    changed = materialise(kept_words(docs, runs).where("n_removed > 0").dropDuplicates(["sid"]).select("sid", "kept"), "kept")
     copies = seq.where("copy").select("sid", F.lit(True).alias("copy")).dropDuplicates(["sid"])
     sid = docs.withColumn("sid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    out = sid.join(changed, "sid", "left").join(copies, "sid", "left")
-    out = out.where(F.col("copy").isNull() & (F.col("kept").isNull() | (F.col("kept") != "")))
-    return out.select(*(F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    held = bitmap(changed.select("sid").unionByName(copies.select("sid")))
+    touched = likely(sid, "sid", held).join(changed, "sid", "left").join(copies, "sid", "left")
+    touched = touched.where(F.col("copy").isNull() & (F.col("kept").isNull() | (F.col("kept") != "")))
+    touched = touched.select(*(F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return unlikely(sid, "sid", held).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(touched)

@@ -3,63 +3,95 @@
 The pre-tokeniser of the supported files never joins text across a single space or line feed
 that stands between two non-blank characters, so a text is the concatenation of pieces cut there
 and its ids are the concatenation of theirs.  Pieces repeat, so the library encodes each
-distinct piece once per worker.  Texts with other white space are cut only where that is safe;
-texts that hold a special token's string go to the library whole.
+distinct piece once per worker while the cache holds it.  Texts with other white space are cut
+only where that is safe; texts that hold a special token's string go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 
-import numpy as np
-
-_DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<!\s)(?=[ \n]\S)")
 
 
-class PieceEncoder:
-    LIMIT = 250_000
+class Pieces:
+    """Packed ids by piece in two generations: a piece in use survives, others go in time."""
+
+    LIMIT = 600_000
 
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]]):
+        self.encode, self.new, self.old = encode, {}, {}
+
+    def fetch(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """The cache, holding at least ``pieces``."""
+        if len(self.new) + len(pieces) > self.LIMIT:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = []
+        for p in pieces.difference(new):
+            if p in old:
+                new[p] = old[p]
+            else:
+                missing.append(p)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            new.update(zip(part, self.encode(part), strict=True))
+        return new
+
+
+class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {"": b""}
+        self.words, self.pieces = Pieces(self._words), Pieces(self._pieces)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def _words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of a space or line feed and a word; None where the cut is not a safe one."""
+        bare = [w[1:] if w[:1] == "\n" else w for w in words]
+        found = self._pieces([w if w[:1] == "\n" else " " + w for w in words])
+        return [ids if b and b == b.strip() else None for ids, b in zip(found, bare, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text (null: empty)."""
-        cut: list[list[str] | bytes] = []
+        out: list[bytes | None] = [None] * len(texts)
+        cut: list[tuple[int, str, list[str]]] = []
         seen: set[str] = set()
-        for text in texts:
+        odd: list[int] = []
+        for i, text in enumerate(texts):
             if not text:
-                cut.append(b"")
+                out[i] = b""
             elif any(s in text for s in self.special):
-                cut.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                out[i] = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                if _DOUBLE.search(text):
-                    pieces = _SAFE.split(text)
+                first, *words = text.replace("\n", " \n").split(" ")
+                if first == first.strip():
+                    cut.append((i, first, words))
+                    seen.update(words)
                 else:
-                    first, *rest = text.replace("\n", " \n").split(" ")
-                    pieces = [first]
-                    pieces += [p if p[:1] == "\n" else " " + p for p in rest]
-                cut.append(pieces)
-                seen.update(pieces)
-        if len(self.cache) + len(seen) > self.LIMIT:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = [p for p in seen if p not in cache]
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[piece] = self._pack(e.ids)
-        return [c if isinstance(c, bytes) else b"".join(map(cache.__getitem__, c)) for c in cut]
+                    odd.append(i)
+        known, firsts = self.words.fetch(seen), self.pieces.fetch({first for _, first, _ in cut})
+        for i, first, words in cut:
+            try:
+                out[i] = firsts[first] + b"".join(map(known.__getitem__, words))
+            except TypeError:  # a None among them
+                odd.append(i)
+        if odd:
+            parts = {i: _SAFE.split(texts[i]) for i in odd}
+            known = self.pieces.fetch({p for x in parts.values() for p in x})
+            for i, x in parts.items():
+                out[i] = b"".join(map(known.__getitem__, x))
+        return out
 
 
 _encoders: dict[str, PieceEncoder] = {}
