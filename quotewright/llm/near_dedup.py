@@ -8,9 +8,9 @@ most ``SMALL`` gives all its pairs.  A larger one gives links to its least id an
 longest common prefix, and is searched again one value deeper, down to ``DEPTH``.
 
 What the deeper search may separate is made good exactly: regions over ``SMALL`` that still
-hold several components compare, in blocks, every document outside the largest component with
-all documents of other components.  So every pair that shares a base region in some
-order is compared.  A pair of similarity 0.85 shares none with probability below 1e-5.
+hold several components compare, in blocks and on whole sets, every document outside the largest
+component with all documents of other components.  So every pair that shares a base region in
+some order is compared.  A pair of similarity 0.85 shares none with probability below 1e-5.
 
 Candidates are screened on 4-bit MinHash sketches (a pair at the threshold fails 4.6 standard
 deviations out) and confirmed on whole sets.  Pairs inside one component are not confirmed
@@ -36,7 +36,7 @@ from .common import MIX, WordHashes, finish, materialise, sequence_hashes
 from .components import components
 
 SHINGLE = 5
-TREES, DEPTH, BASE, SMALL, CHUNK, BLOCK = 16, 8, 4, 32, 4096, 1024
+TREES, DEPTH, BASE, SMALL, CHUNK, BLOCK = 16, 8, 4, 32, 4096, 512
 #: Link where LINK[1] * intersection >= LINK[0] * union.
 LINK = (85, 100)
 #: Least number of equal 4-bit sketch values, of TREES * DEPTH.
@@ -49,10 +49,10 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     if not len(words):
         return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
-        whole = np.uint64(len(words))
+        whole = np.array([len(words)], np.uint64)
         for w in words:
             whole = whole * MIX + w
-        return finish(np.array([whole], np.uint64))
+        return finish(whole)
     return np.unique(sequence_hashes(words, SHINGLE))
 
 
@@ -235,29 +235,48 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def block_candidates(large: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Screened pairs between components inside the regions over SMALL, compared in blocks."""
-    named = large.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("of"))
+def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside the regions over SMALL, found exactly in blocks.
+
+    Documents outside a region's largest component meet all of its documents, whole sets at
+    hand; a pair that shares a region in an earlier order has been compared there.  Of a document's
+    links to one component a block gives one.
+    """
+    named = large.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "tree", "id", "n", "keys", F.coalesce("component", "id").alias("of"))
     sizes = named.groupBy("key", "of").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.count("*").alias("components"), F.max("size").alias("most"))
-    mixed = named.join(main.where("components > 1"), "key")
-    mixed = mixed.join(sketches.select("id", "sketch"), "id")
+    mixed = named.join(main.where("components > 1"), "key").join(sets, "id")
     outside = F.col("of") != F.col("main")
     row_blocks, out_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
-    spot = F.xxhash64("id", F.lit(7))
-    left = mixed.where(outside).select("key", F.pmod(spot, out_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), row_blocks - 1)).alias("j"), F.lit(0).alias("side"), "id", "of", "sketch")
-    right = mixed.select("key", F.explode(F.sequence(F.lit(0), out_blocks - 1)).alias("i"), F.pmod(spot, row_blocks).cast("int").alias("j"), F.lit(1).alias("side"), "id", "of", "sketch")
+    spot, rest = F.xxhash64("id", F.lit(7)), ["id", "of", "tree", "keys", "shingles"]
+    left = mixed.where(outside).select("key", F.pmod(spot, out_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), row_blocks - 1)).alias("j"), F.lit(0).alias("side"), *rest)
+    right = mixed.select("key", F.explode(F.sequence(F.lit(0), out_blocks - 1)).alias("i"), F.pmod(spot, row_blocks).cast("int").alias("j"), F.lit(1).alias("side"), *rest)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for _, run in _groups(batches, 3):
-                sides = [[r for r in run if r[3] == s] for s in (0, 1)]
-                if all(sides):
-                    (x_id, x_of, x), (y_id, y_of, y) = ((np.array([r[4] for r in s]), np.array([r[5] for r in s]), np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(len(s), -1)) for s in sides)
-                    for i in range(len(x_id)):
-                        hit = np.flatnonzero((y_of != x_of[i]) & (_alike(x[i][None], y) >= SCREEN))
-                        if len(hit):
-                            yield np.full(len(hit), x_id[i]), y_id[hit]
+                x_rows, y_rows = ([r for r in run if r[3] == s] for s in (0, 1))
+                if not x_rows or not y_rows:
+                    continue
+                tree = x_rows[0][6]
+                ids, of, keys = np.array([r[4] for r in y_rows]), np.array([r[5] for r in y_rows]), np.array([r[7] for r in y_rows])
+                sets_y = [np.frombuffer(r[8], np.uint64) for r in y_rows]
+                sizes_y = np.array([len(s) for s in sets_y])
+                everything, owner = np.concatenate(sets_y), np.repeat(np.arange(len(y_rows)), sizes_y)
+                order = np.argsort(everything, kind="stable")
+                everything, owner = everything[order], owner[order]
+                for r in x_rows:
+                    x = np.frombuffer(r[8], np.uint64)
+                    lo, hi = np.searchsorted(everything, x, "left"), np.searchsorted(everything, x, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(ids))
+                    hit = (LINK[1] * both >= LINK[0] * (len(x) + sizes_y - both)) & (of != r[5])
+                    hit &= ~(keys[:, :tree] == np.array(r[7][:tree])).any(1)
+                    if hit.any():
+                        hit = np.flatnonzero(hit)
+                        hit = hit[np.unique(of[hit], return_index=True)[1]]
+                        yield np.full(len(hit), r[4]), ids[hit]
 
         yield from _pair_batches(found())
 
@@ -272,16 +291,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     first = full.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     width = 4 * DEPTH
-    orders = F.array(*(F.substring("signature", t * width + 1, width) for t in range(TREES)))
-    sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
-    spread = first.select(F.col("doc_id").alias("id"), F.posexplode(orders).alias("tree", "order"))
-    spread = spread.select("id", "order", F.xxhash64("tree", F.substring("order", 1, 4 * BASE)).alias("key"))
+    orders = [F.substring("signature", t * width + 1, width) for t in range(TREES)]
+    keys = [F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 4 * BASE)) for t in range(TREES)]
+    sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", F.array(*keys).alias("keys"))
+    spread = first.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*(F.struct(o.alias("order"), k.alias("key")) for o, k in zip(orders, keys, strict=True)))).alias("tree", "at"))
+    spread = spread.select("id", "tree", "at.order", "at.key")
     regions = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = materialise(spread.join(regions, "key"), "regions")
     sketches = materialise(sketches.join(members.select("id").distinct(), "id", "left_semi"), "sketches")
 
     pairs = materialise(screened(candidates(members), sketches), "pairs")
-    large = members.where(F.col("n") > SMALL).select("key", "id", "n")
+    large = members.where(F.col("n") > SMALL).select("key", "tree", "id", "n").join(sketches.select("id", "keys"), "id")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     sets = materialise(shingle_sets(docs, ids), "shingle-sets")
 
@@ -290,8 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = materialise(components(links), "components")
     links = links.unionByName(materialise(confirmed(_apart(pairs, labels), sets), "links"))
     labels = materialise(components(links), "components")
-    blocks = _apart(block_candidates(large, labels, sketches), labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(confirmed(blocks, sets), "links")
+    more = materialise(block_links(large, labels, sets), "links")
     if more.head(1):
         labels = materialise(components(links.unionByName(more)), "components")
 
