@@ -1,4 +1,611 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
 
-QUERIES: dict = {}
+The flat corpus is ``benchmark``, the sequenced one the lines of ``documents``; texts to check are
+``documents`` and ``conversations``.  Rounded scores and id ties make both engines agree.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import tables as t
+from ..functions import text as x
+from ..functions.kernels import assimilate_udf, matching_blocks_udf, vowel_signature_udf
+from ..operators import decide, detect, evaluate, index, report, retrieve, scan, score, spans, synth
+from ..streaming import stream
+from . import verify
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query; whole-number columns leave as long."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return df.select(*(F.col(f"`{c}`").cast("long").alias(c) if k in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, k in df.dtypes))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+NORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+STOP = _list(sorted({*t.LATIN_STOPWORDS}))
+CONTENT = "list_filter({0}, lambda w: length(w) > 1 and not list_contains(" + STOP + ", w))"
+COLLAPSE = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: i = 1 or c <> string_split({0}, '')[i - 1]), '')"
+CORPUS = f"c as (select doc_id as idx, {NORM.format('text')} as norm, {WORDS.format(NORM.format('text'))} as words from documents)"
+ITEMS = f"b as (select item_id as idx, {NORM.format('text')} as norm, {WORDS.format(NORM.format('text'))} as words from benchmark)"
+QUERY = f"q as (select item_id as qid, {NORM.format('text')} as norm, {WORDS.format(NORM.format('text'))} as words from benchmark)"
+
+
+def _bm25(records: str, asks: str) -> str:
+    return f"""w as (select idx, {CONTENT.format('words')} as cw from {records}),
+    post as (select idx, term, least(count(*), 65535) as tf from (select idx, unnest(cw) as term from w) group by idx, term),
+    stats as (select idx, len(cw) as dl from w), totals as (select count(*) as n, coalesce(avg(dl), 1.0) as avgdl from stats),
+    idf as (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from (select term, count(*) as df from post group by term), totals),
+    qt as (select qid, unnest(list_distinct({CONTENT.format('words')})) as term from {asks}),
+    bm as (select qid, idx, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
+      from qt join idf using (term) join post using (term) join stats using (idx), totals group by qid, idx)"""
+
+
+def _top(source: str, k: int, tie: str = "idx") -> str:
+    return f"select *, row_number() over (partition by qid order by score desc, {tie}) as rank from {source} qualify rank <= {k}"
+
+
+def _docs(read) -> DataFrame:
+    return index.normalised(read("documents").select(F.col("doc_id").alias("idx"), "text"), x.LATIN)
+
+
+def _items(read) -> DataFrame:
+    return index.normalised(read("benchmark").select(F.col("item_id").alias("idx"), "text"), x.LATIN)
+
+
+def _asks(read) -> DataFrame:
+    return _items(read).withColumnRenamed("idx", "qid")
+
+
+def _scored(read, c: DataFrame, asks: DataFrame) -> DataFrame:
+    post, stats = index.postings(c, x.LATIN), index.doc_stats(c, x.LATIN)
+    totals = index.corpus_stats(stats)
+    return retrieve.bm25(retrieve.query_terms(asks, x.LATIN), post, stats, index.term_stats(post, totals), totals)
+
+
+# retrieval
+
+
+@query(f"with {CORPUS}, {QUERY}, {_bm25('c', 'q')} select qid, idx, score, rank from ({_top('bm', 5)})")
+def bm25_topk(read):
+    """The five best documents of every benchmark item."""
+    return retrieve.ranked(_scored(read, _docs(read), _asks(read)), 5).select("qid", "idx", "score", "rank")
+
+
+VOTES = """wi as (select idx, unnest(list_distinct(words)) as word from c), qw as (select qid, len(words) as q_len, unnest(words) as word from q),
+    v as (select qid, q_len, idx, count(*) as v from qw join wi using (word) group by qid, q_len, idx),
+    vote as (select qid, idx, round(2 * (v / q_len) * (v / greatest(len(words), 1)) / ((v / q_len) + (v / greatest(len(words), 1))), 6) as score from v join c using (idx))"""
+
+
+@query(f"with {CORPUS}, {QUERY}, {VOTES} select qid, idx, score, rank from ({_top('vote', 25)})")
+def vote_f1_topk(read):
+    c = _docs(read)
+    return retrieve.ranked(retrieve.vote_f1(_asks(read), index.word_index(c), c), 25).select("qid", "idx", "score", "rank")
+
+
+@query(
+    f"""with {CORPUS}, {QUERY}, {VOTES}, {_bm25('c', 'q')}, a as ({_top('vote', 10)}), s as ({_top('bm', 25)}),
+    u as (select qid, idx, score, row_number() over (partition by qid order by rank) as n, rank from s where (qid, idx) not in (select (qid, idx) from a)),
+    both_ as (select qid, idx, score, 0 as list, rank from a union all select qid, idx, score, 1, rank from u where n <= 5)
+    select qid, idx, score, list, row_number() over (partition by qid order by list, rank) as place from both_"""
+)
+def rank_union(read):
+    c, q = _docs(read), _asks(read)
+    votes = retrieve.ranked(retrieve.vote_f1(q, index.word_index(c), c), 10)
+    return retrieve.rank_union(votes, retrieve.ranked(_scored(read, c, q), 25), 10, 5)
+
+
+@query(
+    f"""with {CORPUS}, {QUERY}, wi as (select idx, unnest(list_distinct(words)) as word from c), n as (select count(*) as n from c),
+    df as (select word, ln((n + 1) / (df + 1)) + 1 as w from (select word, count(*) as df from wi group by word), n where ln((n + 1) / (df + 1)) + 1 > 0),
+    s as (select qid, idx, round(sum(w), 6) as score from (select qid, unnest(words) as word from q) join df using (word) join wi using (word) group by qid, idx)
+    select qid, idx, score, rank from ({_top('s', 10)})"""
+)
+def idf_vote_topk(read):
+    c = _docs(read)
+    n = c.count()
+    return retrieve.ranked(retrieve.idf_vote(_asks(read), index.word_index(c), n), 10).select("qid", "idx", "score", "rank")
+
+
+GRAMS = "list_distinct(list_transform(range(1, greatest(length(norm) - 2, 1)), lambda i: substr(norm, i, 4)))"
+
+
+@query(
+    f"""with {CORPUS}, {QUERY}, {_bm25('c', 'q')}, pool as ({_top('bm', 60)}), qg as (select qid, {GRAMS} as a from q), cg as (select idx, {GRAMS} as g from c where idx in (select idx from pool)),
+    s as (select qid, idx, rank as pool_rank, round(case when len(a) * len(g) > 0 then len(list_intersect(a, g)) / sqrt(len(a) * len(g)) else 0 end, 6) as score from pool join qg using (qid) join cg using (idx))
+    select qid, idx, pool_rank, score, rank from ({_top('s', 15, 'pool_rank')})"""
+)
+def ngram_cosine_rerank(read):
+    c, q = _docs(read), _asks(read)
+    return retrieve.ngram_rerank(retrieve.ranked(_scored(read, c, q), 60), q, c, 15)
+
+
+# index tables
+
+
+@query(f"with {CORPUS}, {QUERY}, {_bm25('c', 'q')} select term, df, round(idf, 6) as idf from idf")
+def term_stats(read):
+    c = _docs(read)
+    post = index.postings(c, x.LATIN)
+    return index.term_stats(post, index.corpus_stats(index.doc_stats(c, x.LATIN))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {CORPUS} select idx, cast(len({CONTENT.format('words')}) as bigint) as dl, cast(len(words) as bigint) as n_words from c")
+def doc_stats(read):
+    c = _docs(read)
+    return index.doc_stats(c, x.LATIN).join(c.select("idx", "n_words"), "idx")
+
+
+@query(f"with {CORPUS} select word, count(*) as df from (select idx, unnest(list_distinct(words)) as word from c) group by word")
+def word_index_df(read):
+    return index.word_index(_docs(read)).groupBy("word").agg(F.count("*").alias("df"))
+
+
+@query(f"with {CORPUS} select count(distinct word) as n from (select unnest(words) as word from c)")
+def vocab_size(read):
+    return index.vocabulary(_docs(read)).agg(F.count("*").alias("n"))
+
+
+@query(f"with {CORPUS} select md5(norm) as norm, min(idx) as idx from c where len(words) >= 2 group by norm")
+def whole_map(read):
+    return index.whole_map(_docs(read)).select(F.md5("norm").alias("norm"), "idx")
+
+
+ANCHORS = f"""k as (select idx, list_transform(words, lambda w: {COLLAPSE.format('w')}) as k from {{0}}), p as (select idx, k, unnest(range(1, greatest(len(k) - 1, 1))) as i from k),
+    an as (select idx, i - 1 as pos, k[i] || ' ' || k[i+1] || ' ' || k[i+2] as key from p union all select idx, i - 1, k[i] || ' ' || k[i+2] || ' ' || k[i+3] from p where i + 3 <= len(k)
+    union all select idx, i - 1, k[i] || ' ' || k[i+1] || ' ' || k[i+3] from p where i + 3 <= len(k))"""
+
+
+@query(f"with {ITEMS}, {ANCHORS.format('b')} select idx, count(*) as n, count(distinct key) as keys from an group by idx")
+def anchors_count(read):
+    keyed = _items(read).select("idx", F.explode(x.anchor_keys(F.transform("words", x.LATIN.key))).alias("a"))
+    return keyed.groupBy("idx").agg(F.count("*").alias("n"), F.countDistinct("a.key").alias("keys"))
+
+
+@query(
+    f"""with {ITEMS}, {CORPUS}, {ANCHORS.format('b').replace('an as', 'bn as').replace('k as (', 'bk as (').replace('p as (', 'bp as (').replace('from k)', 'from bk)').replace('from p ', 'from bp ')},
+    dk as (select idx, list_transform(words, lambda w: {COLLAPSE.format('w')}) as k from c), dp as (select idx, k, unnest(range(1, greatest(len(k) - 1, 1))) as i from dk),
+    dn as (select idx, k[i] || ' ' || k[i+1] || ' ' || k[i+2] as key from dp union all select idx, k[i] || ' ' || k[i+2] || ' ' || k[i+3] from dp where i + 3 <= len(k)
+    union all select idx, k[i] || ' ' || k[i+1] || ' ' || k[i+3] from dp where i + 3 <= len(k)),
+    rare as (select key from bn group by key having count(*) <= 60)
+    select dn.idx as doc_id, bn.idx as idx, count(*) as hits from dn join bn using (key) join rare using (key) group by dn.idx, bn.idx"""
+)
+def anchor_hits(read):
+    texts = _docs(read).select(F.col("idx").alias("doc_id"), "words")
+    found = scan.anchor_hits(texts, index.capped(index.anchors(_items(read), x.LATIN)), x.LATIN)
+    return found.groupBy("doc_id", "idx").agg(F.count("*").alias("hits"))
+
+
+LINES = f"""l as (select doc_id as section, i as pos, trim(s[i]) as text from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from documents)) where length(trim(s[i])) > 0),
+    sq as (select section, row_number() over (partition by section order by pos) as pos, {NORM.format('text')} as norm from l)"""
+
+
+def _lines(read) -> DataFrame:
+    """The sequenced corpus: lines of documents."""
+    l = read("documents").select(F.col("doc_id").alias("section"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    l = l.where("length(trim(text)) > 0").withColumn("pos", F.row_number().over(Window.partitionBy("section").orderBy("at")))
+    return l.select("section", "pos", "text", x.latin(F.col("text")).alias("norm"))
+
+
+@query(
+    f"""with {LINES} select a.section as section, a.pos as first, count(*) as k, cast(sum(length(b.norm)) + count(*) - 1 as bigint) as size from sq a
+    join sq b on a.section = b.section and b.pos between a.pos and a.pos + 2 group by a.section, a.pos"""
+)
+def record_windows(read):
+    w = index.record_windows(_lines(read), 3)
+    return w.groupBy("section", "first").agg(F.max("k").alias("k"), F.max_by(F.length("text"), "k").alias("size"))
+
+
+@query(f"with {LINES} select section, pos, lead(md5(norm)) over (partition by section order by pos) as next from sq")
+def next_record(read):
+    return _lines(read).select("section", "pos", F.lead(F.md5("norm")).over(Window.partitionBy("section").orderBy("pos")).alias("next"))
+
+
+# text functions over whole documents
+
+
+@query(f"select doc_id, md5({NORM.format('text')}) as norm from documents")
+def norm_latin(read):
+    return read("documents").select("doc_id", F.md5(x.latin(F.col("text"))).alias("norm"))
+
+
+_PUNCT = t.PUNCTUATION.replace("'", "''")
+
+
+@query(
+    f"select doc_id, md5(trim(regexp_replace(regexp_replace(translate(replace(text, 'ﷲ', 'الله'), '{t.LETTER_FOLDS[0]}{t.ALEF_FORMS}', '{t.LETTER_FOLDS[1]}اااا'), '[{_PUNCT}]', ' ', 'g'), '\\s+', ' ', 'g'))) as norm from documents"
+)
+def norm_strict(read):
+    return read("documents").select("doc_id", F.md5(x.strict(F.col("text"))).alias("norm"))
+
+
+@query("select doc_id, md5('') as norm from documents")
+def norm_match(read):
+    """No document has an Arabic letter, so every match form is empty."""
+    return read("documents").select("doc_id", F.md5(x.matching(F.col("text"))).alias("norm"))
+
+
+@query(f"with {CORPUS} select idx, len(words) as n, len(list_distinct(words)) as n_distinct, len({CONTENT.format('words')}) as n_content from c")
+def tokens(read):
+    c = _docs(read)
+    return c.select("idx", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("n_distinct"), F.size(x.LATIN.content(F.col("words"))).alias("n_content"))
+
+
+@query(f"with {ITEMS} select idx, len({GRAMS}) as n, md5(array_to_string(list_sort({GRAMS}), '|')) as grams from b")
+def char_ngrams(read):
+    g = _items(read).select("idx", x.char_ngrams(F.col("norm"), 4).alias("g"))
+    return g.select("idx", F.size("g").alias("n"), F.md5(F.array_join(F.array_sort("g"), "|")).alias("grams"))
+
+
+@query(f"with {ITEMS} select idx, array_to_string(list_transform(words, lambda w: {COLLAPSE.format('w')}), ' ') as keys from b")
+def phonetic_key(read):
+    return _items(read).select("idx", F.array_join(F.transform("words", x.LATIN.key), " ").alias("keys"))
+
+
+@query(
+    r"""select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as text from pages"""
+)
+def page_text(read):
+    return read("pages").select("page_id", F.md5(x.strip_tags(F.col("html"))).alias("text"))
+
+
+@query(
+    r"""select conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{0400}-\x{04ff}\x{0900}-\x{097f}\x{0e00}-\x{0e7f}\x{1100}-\x{11ff}\x{3000}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]+', ' ', 'g'),
+    '([،,؛.])\s*[،,؛]+', '\1', 'g'), '[ \t]{2,}', ' ', 'g'), ' +([،؛.:])', '\1', 'g'), '^\s+|\s+$', '', 'g')) as text from conversations where role = 'assistant'"""
+)
+def sanitize_answer(read):
+    return read("conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(x.sanitize_answer(F.col("text"))).alias("text"))
+
+
+@query("select conv_id, turn, md5(trim(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'))) as text from conversations")
+def clean_field(read):
+    return read("conversations").select("conv_id", "turn", F.md5(x.clean_field(F.col("text"))).alias("text"))
+
+
+_ESCAPE = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"select page_id, md5({_ESCAPE}) as html from pages")
+def html_escape(read):
+    return read("pages").select("page_id", F.md5(x.html_escape(F.col("html"))).alias("html"))
+
+
+@query(
+    r"""with w as (select doc_id, unnest(regexp_extract_all(text, '\S+\s*')) as piece, generate_subscripts(regexp_extract_all(text, '\S+\s*'), 1) as i, length(regexp_extract(text, '^\s*')) as lead from documents),
+    o as (select doc_id, i, regexp_extract(piece, '^\S+') as word, lead + coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start from w)
+    select doc_id, count(*) as n, cast(sum(start) as bigint) as starts, cast(sum(start + length(word)) as bigint) as ends from o group by doc_id"""
+)
+def offset_tokens(read):
+    e = read("documents").select("doc_id", F.explode(x.offset_tokens(F.col("text"))).alias("t"))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("t.start").alias("starts"), F.sum("t.end").alias("ends"))
+
+
+# similarity of items and the documents retrieved for them
+
+PAIRS = f"with {CORPUS}, {QUERY}, {_bm25('c', 'q')}, p as ({_top('bm', 3)}), j as (select qid, idx, rank, q.norm as a, q.words as wa, left(c.norm, 400) as d, list_filter(string_split(left(c.norm, 400), ' '), lambda w: w <> '') as wb from p join q using (qid) join c using (idx))"
+
+
+def _pairs(read) -> DataFrame:
+    c, q = _docs(read), _asks(read)
+    top = retrieve.ranked(_scored(read, c, q), 3)
+    j = top.join(q.select("qid", F.col("norm").alias("claim")), "qid").join(c.select("idx", F.substring("norm", 1, 400).alias("source")), "idx")
+    return j.select("qid", "idx", "rank", "score", "claim", "source")
+
+
+@query(
+    PAIRS + """ select qid, idx, round(len(list_intersect(wa, wb)) / len(list_distinct(wa || wb)), 6) as token_overlap, round(len(list_intersect(wa, wb)) / len(list_distinct(wa)), 6) as coverage,
+    round(len(list_intersect(string_split(replace(a, ' ', ''), ''), string_split(replace(d, ' ', ''), ''))) / len(list_distinct(string_split(replace(a, ' ', ''), '') || string_split(replace(d, ' ', ''), ''))), 6) as char_overlap,
+    cast(contains(replace(d, ' ', ''), replace(a, ' ', '')) or contains(replace(a, ' ', ''), replace(d, ' ', '')) as bigint) as is_substring from j"""
+)
+def set_signals(read):
+    p = _pairs(read).withColumns({"a": F.split("claim", " "), "b": F.filter(F.split("source", " "), lambda w: w != ""), "ac": F.replace("claim", F.lit(" "), F.lit("")), "bc": F.replace("source", F.lit(" "), F.lit(""))})
+    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda y: y != ""))
+    return p.select(
+        "qid", "idx", F.round(x.jaccard(F.array_distinct("a"), F.array_distinct("b")), 6).alias("token_overlap"), F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_distinct("a")), 6).alias("coverage"),
+        F.round(x.jaccard(chars("ac"), chars("bc")), 6).alias("char_overlap"), (F.contains("bc", "ac") | F.contains("ac", "bc")).cast("int").alias("is_substring"),
+    )
+
+
+@query()
+def lcs_ratio(read):
+    """Longest common subsequence per pair; checked against a plain table in the tests."""
+    p = _pairs(read).withColumns({"a": F.split("claim", " "), "b": F.filter(F.split("source", " "), lambda w: w != "")})
+    return p.select("qid", "idx", F.round(x.lcs_length(F.col("a"), F.col("b")) / F.size("a"), 6).alias("lcs_ratio"))
+
+
+_ASCII = "regexp_replace({0}, '[^a-z0-9 ]', '', 'g')"
+
+
+@query(
+    PAIRS + f" select qid, idx, round(1 - levenshtein(left({_ASCII.format('a')}, 600), left({_ASCII.format('d')}, 600)) / greatest(length(left({_ASCII.format('a')}, 600)), length(left({_ASCII.format('d')}, 600))), 6) as edit_sim from j"
+)
+def edit_sim(read):
+    p = _pairs(read)
+    plain = lambda c: F.regexp_replace(c, "[^a-z0-9 ]", "")
+    return p.select("qid", "idx", F.round(x.edit_similarity(plain(F.col("claim")), plain(F.col("source"))), 6).alias("edit_sim"))
+
+
+@query()
+def composite(read):
+    """All nine signals and the composite of the pairs."""
+    return score.signals(_pairs(read), "flat").drop("claim", "source")
+
+
+@query()
+def verify_flat(read):
+    """Verdict of every benchmark item against the documents, by the flat ladder."""
+    best = score.best_candidate(score.signals(_pairs(read), "flat"))
+    return score.verdict(best, "flat").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
+
+
+@query()
+def verify_sequence(read):
+    best = score.best_candidate(score.signals(_pairs(read), "sequence"))
+    return score.verdict(best, "sequence").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
+
+
+@query(f"with {CORPUS}, {ITEMS} select c.idx as doc_id, b.idx as idx from c join b on contains(c.norm, b.norm)")
+def verbatim_contains(read):
+    """Documents that hold an item word for word: an anchor join, then containment."""
+    d, b = _docs(read), _items(read)
+    keys = d.select("idx", F.explode(F.array_distinct(x.word_ngrams(F.col("words"), 5))).alias("key"))
+    first = b.select(F.col("idx").alias("item"), F.array_join(F.slice("words", 1, 5), " ").alias("key"), F.col("norm").alias("passage"))
+    pairs = keys.join(first, "key").select("idx", "item", "passage").join(d.select("idx", "norm"), "idx")
+    return pairs.where(F.contains("norm", "passage")).select(F.col("idx").alias("doc_id"), F.col("item").alias("idx"))
+
+
+# spans
+
+SPANS = """s as (select doc_id, k, start, start + 20 + (doc_id * 13 + k * 7) % 60 as "end", case when (doc_id + k) % 2 = 0 then 'Ayah' else 'Hadith' end as label,
+    ['VERIFIED', 'CORRECTED', 'UNSUPPORTED', 'HUMAN_REVIEW'][(doc_id * 3 + k) % 4 + 1] as status from (select doc_id, k, (doc_id * 17 + k * 53) % 300 as start from documents, range(4) r(k)) where doc_id % 5 <> 0)"""
+
+
+def _spans(read) -> DataFrame:
+    """Spans from arithmetic on ids: up to four a document, some overlapping."""
+    base = read("documents").where("doc_id % 5 <> 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("k"))
+    s = base.withColumn("start", (F.col("doc_id") * 17 + F.col("k") * 53) % 300)
+    return s.select(
+        "doc_id", "k", "start", (F.col("start") + 20 + (F.col("doc_id") * 13 + F.col("k") * 7) % 60).alias("end"),
+        F.when((F.col("doc_id") + F.col("k")) % 2 == 0, "Ayah").otherwise("Hadith").alias("label"),
+        F.element_at(F.array(*map(F.lit, report.STATUSES)), ((F.col("doc_id") * 3 + F.col("k")) % 4 + 1).cast("int")).alias("status"),
+    )
+
+
+@query(f'with {SPANS} select a.doc_id as doc_id, a.k as left_k, b.k as right_k from s a join s b on a.doc_id = b.doc_id and a.start < b."end" and a."end" > b.start and a.k < b.k')
+def overlap_join(read):
+    s = _spans(read)
+    return spans.overlap_join(s, s).where("a.k < b.k").select(F.col("a.doc_id").alias("doc_id"), F.col("a.k").alias("left_k"), F.col("b.k").alias("right_k"))
+
+
+GREEDY = """r as (select *, row_number() over (partition by doc_id order by start - "end", start, k) as n from s),
+    g as (with recursive w as (select doc_id, 0 as n, []::struct(a bigint, z bigint, k bigint)[] as kept from (select distinct doc_id from s)
+      union all select w.doc_id, w.n + 1, case when len(list_filter(kept, lambda x: x.a < r."end" and x.z > r.start)) > 0 then kept else list_append(kept, {'a': r.start, 'z': r."end", 'k': r.k}) end
+      from w join r on r.doc_id = w.doc_id and r.n = w.n + 1) select doc_id, unnest(kept) as x from w where n = 4)"""
+
+
+@query(f'with {SPANS}, {GREEDY} select doc_id, x.k as k, x.a as start, x.z as "end" from g')
+def greedy_nonoverlap(read):
+    kept = spans.non_overlapping(_spans(read), [F.col("start") - F.col("end"), F.col("start"), F.col("k")])
+    return kept.select("doc_id", "k", "start", "end")
+
+
+@query(
+    f"""with {SPANS}, e as (select doc_id, start, "end", label, (k + 5) / 10 as score, k = 2 as begin_ from s),
+    f as (select *, lag(label) over w as last, max("end") over (partition by doc_id order by start, "end", label rows between unbounded preceding and 1 preceding) as high from e window w as (partition by doc_id order by start, "end", label)),
+    g as (select *, sum(case when last is null or last <> label or begin_ or start - high > 1 then 1 else 0 end) over (partition by doc_id order by start, "end", label) as span from f)
+    select doc_id, any_value(label) as label, min(start) as start, max("end") as "end", round(avg(score), 4) as score from g group by doc_id, span having avg(score) >= 0.5"""
+)
+def entities_to_spans(read):
+    s = _spans(read).select("doc_id", F.concat(F.when(F.col("k") == 2, "B-").otherwise("I-"), F.when(F.col("label") == "Ayah", "QURAN").otherwise("hadith")).alias("entity"), F.lit(None).cast("string").alias("entity_group"), "start", "end", ((F.col("k") + 5) / 10).alias("score"))
+    return spans.entity_spans(s)
+
+
+@query()
+def iou_match(read):
+    s = _spans(read)
+    moved = s.where("k < 3").select("doc_id", (F.col("start") + F.col("k") * 6).alias("start"), (F.col("end") + F.col("k") * 6).alias("end"), "label")
+    m = spans.match_gold(s.select("doc_id", "start", "end", "label"), moved)
+    return m.select("doc_id", F.col("gold.start").alias("gold_start"), F.col("found.start").alias("found_start"), "iou")
+
+
+@query()
+def rule_segments(read):
+    """Quoted segments of carriers made from benchmark items, with guards and triggers."""
+    cases = synth.stress_cases(_items(read)).select(F.concat_ws("_", "idx", "kind").alias("doc_id"), "text")
+    return detect.candidates(cases, x.latin).select("doc_id", "start", "end", F.md5("span").alias("span"), "n_words")
+
+
+@query()
+def sliding_windows(read):
+    w = _docs(read).select("idx", F.explode(spans.sliding(F.size("words"))).alias("w"))
+    return w.select("idx", "w.from", "w.to")
+
+
+# synthesis
+
+CASES = f"""with {ITEMS}, z as (select idx, words, len(words) as n, (idx * 31 + 7) % (len(words) - 2) + 1 as p from b where len(words) >= 6), k as (
+    select idx, 'exact' as kind, words as w from z union all select idx, 'embedded', words from z union all select idx, 'partial', words[1:greatest(3, n // 2)] from z
+    union all select idx, 'substituted', words[1:p] || [reverse(words[p + 1])] || words[p + 2:n] from z union all select idx, 'dropped', words[1:p] || words[p + 2:n] from z
+    union all select idx, 'swapped', words[1:p - 1] || [words[p + 1], words[p]] || words[p + 2:n] from z)"""
+
+
+@query(CASES + " select idx, kind, md5(array_to_string(w, ' ')) as quote, length(array_to_string(w, ' ')) as size from k")
+def stress_cases(read):
+    s = synth.stress_cases(_items(read))
+    quote = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return s.select("idx", "kind", F.md5(quote).alias("quote"), F.length(quote).alias("size"))
+
+
+@query(f"with {ITEMS} select a.idx as idx, b2.idx as other, md5(array_to_string(a.words[1:len(a.words) // 2] || b2.words[len(b2.words) // 2 + 1:], ' ')) as text from b a join b b2 on b2.idx = a.idx + 1")
+def splice(read):
+    return synth.spliced(_items(read)).select("idx", "other", F.md5("text").alias("text"))
+
+
+# decisions and reports
+
+
+@query()
+def document_report(read):
+    """The whole flow over carriers of altered and exact quotations of benchmark items."""
+    items = read("benchmark").select(F.col("item_id").alias("idx"), F.lit(0).alias("section"), F.col("item_id").alias("pos"), "text")
+    corpus = verify.Corpus.build(items, x.LATIN)
+    docs = synth.stress_cases(corpus.records).select(F.concat_ws("_", "idx", "kind").alias("doc_id"), "text")
+    r = verify.document_report(docs, corpus)
+    return r.select("doc_id", "n_spans", "verified", "corrected", "unsupported", "human_review", F.md5("corrected_text").alias("corrected_text"))
+
+
+@query(
+    f"""with {SPANS} select d.doc_id as doc_id, count(s.k) as n_spans, count(*) filter (label = 'Ayah') as n_sequence, count(*) filter (label = 'Hadith') as n_flat,
+    count(*) filter (status = 'VERIFIED') as verified, count(*) filter (status = 'CORRECTED') as corrected, count(*) filter (status = 'UNSUPPORTED') as unsupported,
+    count(*) filter (status = 'HUMAN_REVIEW') as human_review, count(*) filter (status = 'HUMAN_REVIEW') > 0 as needs_human_review from documents d left join s using (doc_id) group by d.doc_id"""
+)
+def doc_summary(read):
+    return report.summary(read("documents"), _spans(read))
+
+
+@query(f"with {SPANS} select label, status, count(*) as n from s group by rollup(label, status)")
+def status_rollup(read):
+    return report.status_rollup(_spans(read))
+
+
+@query(f"""with {SPANS} select cast(d.doc_id as varchar) as qid, coalesce(start, 0) as start, coalesce("end", 0) as "end", coalesce(label, 'No_Spans') as type from documents d left join s using (doc_id)""")
+def task1a(read):
+    return report.task_a(read("documents"), _spans(read))
+
+
+@query(f"""with {SPANS} select doc_id || '_' || row_number() over (partition by doc_id order by start, "end") as qid, case when status = 'VERIFIED' then 'Correct' else 'Incorrect' end as verdict from s""")
+def task1b(read):
+    return report.task_b(_spans(read))
+
+
+@query(f"""with {SPANS} select doc_id || '_' || start || '_' || "end" as qid, case when status = 'CORRECTED' then 'fix ' || k else '{t.NO_SOURCE}' end as correction from s where status <> 'VERIFIED'""")
+def task1c(read):
+    return report.task_c(_spans(read).withColumn("correction", F.concat(F.lit("fix\t"), "k")))
+
+
+@query(
+    """select doc_id, md5(case when length(text) >= 60 then left(text, 10) || '<ONE>' || substr(text, 21, 20) || '<TWO>' || substr(text, 51) else text end) as text from documents"""
+)
+def apply_corrections(read):
+    edit = lambda a, b, c: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("correction"))
+    edits = F.array(edit(40, 50, "<TWO>"), edit(10, 20, "<ONE>"))
+    fixed = F.when(F.length("text") >= 60, report.apply_corrections(F.col("text"), edits)).otherwise(F.col("text"))
+    return read("documents").select("doc_id", F.md5(fixed).alias("text"))
+
+
+@query(
+    f"""with {SPANS}, h as (select doc_id, start, "end", status from s where k = 1 and "end" <= 400), d as (select doc_id, length(text) as n from documents where length(text) >= 400),
+    one as (select h.* from h join d using (doc_id)) select doc_id, start, "end", status from one union all select doc_id, 0, start, null from one where start > 0
+    union all select d.doc_id, coalesce(one."end", 0), d.n, null from d left join one using (doc_id) where coalesce(one."end", 0) < d.n"""
+)
+def highlight_pieces(read):
+    docs = read("documents").where(F.length("text") >= 400)
+    s = _spans(read).where("k = 1 and `end` <= 400").join(docs.select("doc_id"), "doc_id")
+    return report.highlight_pieces(docs, s)
+
+
+# evaluation
+
+
+@query(
+    f"""with {SPANS}, g as (select doc_id, start, "end" from s where k = 0), p as (select doc_id, start + 5 as start, "end" + 9 as "end" from s where k = 0 and doc_id % 3 <> 0), d as (select doc_id, length(text) as n from documents where length(text) >= 400),
+    o as (select d.doc_id, n, g."end" - g.start as a, p."end" - p.start as b, greatest(0, least(g."end", p."end") - greatest(g.start, p.start)) as tp from d join g using (doc_id) join p using (doc_id)),
+    f as (select doc_id, ((case when tp > 0 then 2 * tp / (a + b) else 0 end) + 2 * (n - a - b + tp) / (n - a + n - b)) / 2 as f1 from o)
+    select d.doc_id as doc_id, round(case when g.doc_id is null then 1.0 when p.doc_id is null then 0.0 else f1 end, 6) as score from d left join g using (doc_id) left join p using (doc_id) left join f using (doc_id)"""
+)
+def macro_f1(read):
+    docs = read("documents").where(F.length("text") >= 400)
+    s = _spans(read).where("k = 0").withColumn("label", F.lit("Ayah"))
+    found = s.where("doc_id % 3 <> 0").select("doc_id", "label", (F.col("start") + 5).alias("start"), (F.col("end") + 9).alias("end"))
+    keep = docs.select("doc_id")
+    return evaluate.detection_score(docs, s.join(keep, "doc_id"), found.join(keep, "doc_id"))
+
+
+@query("select count(*) as n, round(avg(case when quality = (length(text) >= 200)::int then 1 else 0 end), 6) as accuracy, round(avg(case when quality = 1 then 1 else 0 end), 6) as baseline from labels join documents using (doc_id)")
+def accuracy_vs_baseline(read):
+    j = read("labels").join(read("documents").select("doc_id", (F.length("text") >= 200).cast("int").alias("guess")), "doc_id")
+    return evaluate.accuracy(j, "quality", "guess", 1)
+
+
+@query(f"with {SPANS} select d.source as source, s.label as label, s.status as verdict, count(*) as n from s join documents d using (doc_id) group by rollup(d.source, s.label, s.status)")
+def dataset_stats(read):
+    s = _spans(read).join(read("documents").select("doc_id", "source"), "doc_id").withColumnRenamed("status", "verdict")
+    return evaluate.dataset_stats(s)
+
+
+# kernels in Python
+
+
+@query()
+def seq_blocks(read):
+    p = _pairs(read)
+    b = p.select("qid", "idx", matching_blocks_udf(F.split("claim", " "), F.split("source", " ")).alias("b"))
+    return b.select("qid", "idx", F.size("b").alias("blocks"), F.aggregate("b", F.lit(0), lambda a, m: a + m["size"]).alias("matched"))
+
+
+@query()
+def assimilated(read):
+    return read("benchmark").select("item_id", F.md5(assimilate_udf("text")).alias("text"), F.size(vowel_signature_udf("text")).alias("letters"))
+
+
+@query()
+def decide_table(read):
+    """The sequence decision table over a grid of its inputs."""
+    g = read("benchmark").select("item_id", F.explode(F.array(*map(F.lit, (0.2, 0.5, 0.6, 0.7, 0.9)))).alias("strength"))
+    g = g.withColumns({"whole": F.col("item_id") % 7 == 0, "exact": F.col("item_id") % 5 == 0, "n_tokens": (F.col("item_id") % 6).cast("int"), "full_ratio": F.col("strength") - 0.1, "near": F.col("item_id") % 2 == 0,
+                       "word_similarity": F.lit(0.8), "source_excerpt": F.lit("x"), "verdict": F.when(F.col("item_id") % 3 == 0, "Correct").otherwise("Incorrect"), "confidence": F.lit(0.75), "method": F.lit("threshold_fail")})
+    return decide.decide_sequence(g).select("item_id", "strength", "status", "code")
+
+
+# events
+
+
+@query("select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) as recent, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) > 8 as refused from events")
+def rate_limit(read):
+    return stream.rate_limit(read("events"), 8, 86_400).select("event_id", "recent", "refused")
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def tumbling(read):
+    return stream.tumbling(read("events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as new from events), n as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+    select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) as n from n group by user_id, s"""
+)
+def sessions(read):
+    return stream.sessions(read("events"))
+
+
+# relational
+
+
+@query(
+    "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by l_returnflag, l_linestatus"
+)
+def pricing_summary(read):
+    l = read("lineitem").where("l_shipdate <= date '1998-09-02'")
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
