@@ -69,8 +69,11 @@ def content_words(words: Column, stopwords: list[str]) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 4) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(v: Column) -> Column:
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(v) - (n - 1)), lambda i: F.substring(v, i, F.lit(n))))
+        return F.when(F.length(v) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return once(c, grams)
 
 
 def collapse(c: Column) -> Column:
@@ -83,22 +86,28 @@ def phonetic(word: Column) -> Column:
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return once(words, grams)
 
 
 def anchor_keys(words: Column) -> Column:
     """Trigram and the two skip-grams at every position: (position, key)."""
 
-    def at(i: Column) -> Column:
-        def key(*steps: int) -> Column:
-            return F.when(i + max(steps) < F.size(words), F.concat_ws(" ", *(F.get(words, i + s) for s in steps)))
+    def keys(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            def key(*steps: int) -> Column:
+                return F.when(i + max(steps) < F.size(w), F.concat_ws(" ", *(F.get(w, i + s) for s in steps)))
+
+            return F.filter(F.array(key(0, 1, 2), key(0, 2, 3), key(0, 1, 3)), lambda k: k.isNotNull())
 
-        return F.filter(F.array(key(0, 1, 2), key(0, 2, 3), key(0, 1, 3)), lambda k: k.isNotNull())
+        positions = F.sequence(F.lit(0), F.size(w) - 3)
+        found = F.flatten(F.transform(positions, lambda i: F.transform(at(i), lambda k: F.struct(i.alias("pos"), k.alias("key")))))
+        return F.when(F.size(w) >= 3, found).otherwise(F.array().cast("array<struct<pos:int,key:string>>"))
 
-    positions = F.sequence(F.lit(0), F.size(words) - 3)
-    found = F.flatten(F.transform(positions, lambda i: F.transform(at(i), lambda k: F.struct(i.alias("pos"), k.alias("key")))))
-    return F.when(F.size(words) >= 3, found).otherwise(F.array().cast("array<struct<pos:int,key:string>>"))
+    return once(words, keys)
 
 
 def _one_of(chars: str) -> str:
@@ -157,12 +166,16 @@ def offset_tokens(c: Column) -> Column:
         token = F.struct(word.alias("word"), start.alias("start"), (start + F.length(word)).alias("end"), stop.alias("boundary"))
         return F.struct((start + F.length(part)).alias("at"), F.when(F.length(word) > 0, F.array_append(acc["out"], token)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    return once(parts, lambda p: F.aggregate(p, empty, step, lambda acc: acc["out"]))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Longest common subsequence of two arrays, by rows of the table."""
-    zero = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), lambda x: x)
+    return once(a, lambda u: once(b, lambda v: _lcs(u, v)))
+
+
+def _lcs(a: Column, b: Column) -> Column:
+    zero = F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0)))
 
     def row(previous: Column, x: Column) -> Column:
         def cell(acc: Column, j: Column) -> Column:

@@ -60,7 +60,7 @@ def whole_map(c: DataFrame) -> DataFrame:
 def anchors(c: DataFrame, profile: Profile) -> DataFrame:
     """(h, idx, src_pos) of trigram and skip-gram keys over phonetic words."""
     keyed = c.select("idx", F.explode(anchor_keys(F.transform("words", profile.key))).alias("a"))
-    return keyed.select(F.crc32("a.key").alias("h"), "idx", F.col("a.pos").alias("src_pos"))
+    return keyed.select(F.xxhash64("a.key").alias("h"), "idx", F.col("a.pos").alias("src_pos"))
 
 
 def capped(found: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -384,7 +384,7 @@ SPANS = """s as (select doc_id, k, start, start + 20 + (doc_id * 13 + k * 7) % 6
 
 def _spans(read) -> DataFrame:
     """Spans from arithmetic on ids: up to four a document, some overlapping."""
-    base = read("documents").where("doc_id % 5 <> 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("k"))
+    base = read("documents").where("doc_id % 5 <> 0").select("doc_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("k"))
     s = base.withColumn("start", (F.col("doc_id") * 17 + F.col("k") * 53) % 300)
     return s.select(
         "doc_id", "k", "start", (F.col("start") + 20 + (F.col("doc_id") * 13 + F.col("k") * 7) % 60).alias("end"),
