@@ -115,6 +115,7 @@ def write(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 0) -> T
     parts = dealt.mapInArrow(write_part, "part int, records long, ids long").collect()  # a row a file
     files = TokenFiles(root, tuple(sorted((r.part, r.records, r.ids) for r in parts)))
     fs, path = filesystem(root)
+    fs.create_dir(path, recursive=True)  # no task has made it where there are no rows
     with fs.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps(files.parts).encode())
     return files
