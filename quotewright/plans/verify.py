@@ -103,9 +103,9 @@ def detected(docs: DataFrame, corpus: Corpus, settings: Settings = Settings()) -
 def document_report(docs: DataFrame, corpus: Corpus, kind: str = "flat", settings: Settings = Settings()) -> DataFrame:
     """One row a document: spans with decisions, corrected text, counts.  Overlong texts are errors."""
     ok = docs.where(F.length("text") <= settings.max_chars)
-    found = detected(ok, corpus, settings).withColumn("qid", F.concat_ws("_", "doc_id", "start"))
+    found = detected(ok, corpus, settings).withColumn("qid", F.concat_ws("_", "doc_id", "start")).persist()  # read three times below
     d = found.join(decided(found.select("qid", "span"), corpus, kind, settings).drop("span"), "qid").withColumn("label", F.lit("Ayah" if kind == "sequence" else "Hadith"))
-    d = d.withColumn("message", report.message(F.col("code")))
+    d = d.withColumn("message", report.message(F.col("code"))).persist()
     per = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "span", "source", "status", "code", "message", "evidence", "correction", "suggestion", "confidence"))).alias("spans"))
     edits = F.transform(F.filter("spans", lambda s: (s["status"] == "CORRECTED") & s["correction"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["correction"].alias("correction")))
     out = docs.select("doc_id", "text").join(per, "doc_id", "left").join(report.summary(ok, d), "doc_id", "left")
