@@ -51,16 +51,31 @@ class PieceEncoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = dict(zip(",.", self._pieces([",", "."]), strict=True))
         self.words, self.pieces = Pieces(self._words), Pieces(self._pieces)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes | None]:
-        """Ids of a space or line feed and a word; None where the cut is not a safe one."""
-        bare = [w[1:] if w[:1] == "\n" else w for w in words]
-        found = self._pieces([w if w[:1] == "\n" else " " + w for w in words])
-        return [ids if b and b == b.strip() else None for ids, b in zip(found, bare, strict=True)]
+        """Ids of a space or line feed and a word; None where the cut is not a safe one.
+
+        Letters and a stop behind them are always two pieces, so a known word serves with both.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        left = []
+        for i, w in enumerate(words):
+            mark = self.marks.get(w[-1:])
+            core = mark and w[:-1].lstrip("\n").isalpha() and (self.words.new.get(w[:-1]) or self.words.old.get(w[:-1]))
+            if core:
+                out[i] = core + mark
+            else:
+                left.append(i)
+        found = self._pieces([words[i] if words[i][:1] == "\n" else " " + words[i] for i in left])
+        for i, ids in zip(left, found, strict=True):
+            bare = words[i].removeprefix("\n")
+            out[i] = ids if bare and bare == bare.strip() else None
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text (null: empty)."""
