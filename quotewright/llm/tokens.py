@@ -9,6 +9,7 @@ only where that is safe; texts that hold a special token's string go to the libr
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -42,6 +43,13 @@ class Pieces:
         return new
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable ones as they are, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +59,11 @@ class PieceEncoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        #: Whether a blank and letters are one piece that goes to the model as its bytes' letters.
+        self.direct = parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"]
+        self.letters = _byte_letters()
         self.marks = dict(zip(",.", self._pieces([",", "."]), strict=True))
         self.words, self.pieces = Pieces(self._words), Pieces(self._pieces)
 
@@ -63,12 +76,15 @@ class PieceEncoder:
         Letters and a stop behind them are always two pieces, so a known word serves with both.
         """
         out: list[bytes | None] = [None] * len(words)
-        left = []
+        left, tokenize = [], self.tokenizer.model.tokenize
         for i, w in enumerate(words):
             mark = self.marks.get(w[-1:])
             core = mark and w[:-1].lstrip("\n").isalpha() and (self.words.new.get(w[:-1]) or self.words.old.get(w[:-1]))
             if core:
                 out[i] = core + mark
+            elif self.direct and w.isalpha():
+                spelt = (" " + w).encode().decode("latin-1").translate(self.letters)
+                out[i] = array(self.code, [x.id for x in tokenize(spelt)]).tobytes()
             else:
                 left.append(i)
         found = self._pieces([words[i] if words[i][:1] == "\n" else " " + words[i] for i in left])
