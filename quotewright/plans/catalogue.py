@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import text as x
-from ..functions.kernels import assimilate_udf, matching_blocks_udf, vowel_signature_udf
+from ..functions.kernels import assimilate_udf, common_words_udf, matching_blocks_udf, vowel_signature_udf
 from ..operators import decide, detect, evaluate, index, report, retrieve, scan, score, spans, synth
 from ..streaming import stream
 from . import verify
@@ -314,6 +314,19 @@ def _pairs(read) -> DataFrame:
     return j.select("qid", "idx", "rank", "score", "claim", "source")
 
 
+def _asked(read) -> tuple[DataFrame, verify.Corpus]:
+    """Benchmark items as claims (qid, span), and the whole documents as the corpus to check them with."""
+    docs = read("documents").select(F.col("doc_id").alias("idx"), F.lit(0).alias("section"), F.col("doc_id").alias("pos"), "text")
+    return read("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("span")), verify.Corpus.build(docs, x.LATIN)
+
+
+def _whole_pairs(read) -> DataFrame:
+    """The flat candidates of every item, with the whole texts of both."""
+    (_, corpus), q = _asked(read), _asks(read)
+    top = verify.retrieved(q, corpus, "flat").join(q.select("qid", F.col("norm").alias("claim")), "qid")
+    return top.join(corpus.records.select("idx", F.col("norm").alias("source")), "idx")
+
+
 @query(
     PAIRS + """ select qid, idx, round(len(list_intersect(wa, wb)) / len(list_distinct(wa || wb)), 6) as token_overlap, round(len(list_intersect(wa, wb)) / len(list_distinct(wa)), 6) as coverage,
     round(len(list_intersect(string_split(replace(a, ' ', ''), ''), string_split(replace(d, ' ', ''), ''))) / len(list_distinct(string_split(replace(a, ' ', ''), '') || string_split(replace(d, ' ', ''), ''))), 6) as char_overlap,
@@ -331,8 +344,8 @@ def set_signals(read):
 @query()
 def lcs_ratio(read):
     """Longest common subsequence per pair; checked against a plain table in the tests."""
-    p = _pairs(read).withColumns({"a": F.split("claim", " "), "b": F.filter(F.split("source", " "), lambda w: w != "")})
-    return p.select("qid", "idx", F.round(x.lcs_length(F.col("a"), F.col("b")) / F.size("a"), 6).alias("lcs_ratio"))
+    p = _whole_pairs(read).withColumns({"a": F.split("claim", " "), "b": F.filter(F.split("source", " "), lambda w: w != "")})
+    return p.select("qid", "idx", F.round(common_words_udf("a", "b") / F.size("a"), 6).alias("lcs_ratio"))
 
 
 _ASCII = "regexp_replace({0}, '[^a-z0-9 ]', '', 'g')"
@@ -349,21 +362,19 @@ def edit_sim(read):
 
 @query()
 def composite(read):
-    """All nine signals and the composite of the pairs."""
-    return score.signals(_pairs(read), "flat").drop("claim", "source")
+    """All nine signals and the composite of the flat candidates' regions."""
+    return verify.scored(*_asked(read), "flat").drop("span", "record", "claim", "source")
 
 
 @query()
 def verify_flat(read):
     """Verdict of every benchmark item against the documents, by the flat ladder."""
-    best = score.best_candidate(score.signals(_pairs(read), "flat"))
-    return score.verdict(best, "flat").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
+    return verify.verified(*_asked(read), "flat").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
 
 
 @query()
 def verify_sequence(read):
-    best = score.best_candidate(score.signals(_pairs(read), "sequence"))
-    return score.verdict(best, "sequence").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
+    return verify.verified(*_asked(read), "sequence").select("qid", "n_candidates", "verdict", "confidence", "method", F.col("best.idx").alias("idx"))
 
 
 @query(f"with {CORPUS}, {ITEMS} select c.idx as doc_id, b.idx as idx from c join b on contains(c.norm, b.norm)")
@@ -560,7 +571,7 @@ def dataset_stats(read):
 
 @query()
 def seq_blocks(read):
-    p = _pairs(read)
+    p = _whole_pairs(read)
     b = p.select("qid", "idx", matching_blocks_udf(F.split("claim", " "), F.split("source", " ")).alias("b"))
     return b.select("qid", "idx", F.size("b").alias("blocks"), F.aggregate("b", F.lit(0), lambda a, m: a + m["size"]).alias("matched"))
 

@@ -46,14 +46,18 @@ def retrieved(queries: DataFrame, corpus: Corpus, kind: str, settings: Settings
     return both.select("qid", "idx", F.col("place").alias("rank"), "score")
 
 
-def verified(claims: DataFrame, corpus: Corpus, kind: str, settings: Settings = Settings()) -> DataFrame:
-    """Verdicts of claims (qid, span)."""
+def scored(claims: DataFrame, corpus: Corpus, kind: str, settings: Settings = Settings()) -> DataFrame:
+    """Signals of claims (qid, span) and the region of each candidate record that they would be compared with."""
     q = claims.withColumn("norm", corpus.profile.normalise(F.col("span"))).withColumn("words", tokens(F.col("norm")))
     pairs = retrieved(q, corpus, kind, settings).join(q.select("qid", "span", F.col("norm").alias("claim")), "qid")
     pairs = pairs.join(corpus.records.select("idx", F.col("text").alias("record")), "idx")
     local = pairs.withColumn("source", corpus.profile.normalise(best_region_udf(corpus.profile.name)("span", "record")))
-    scored = score.signals(local, kind)
-    best = claims.select("qid", "span").join(score.best_candidate(scored), "qid", "left").na.fill(0, ["n_candidates", "strong", "moderate"])
+    return score.signals(local, kind)
+
+
+def verified(claims: DataFrame, corpus: Corpus, kind: str, settings: Settings = Settings()) -> DataFrame:
+    """Verdicts of claims (qid, span)."""
+    best = claims.select("qid", "span").join(score.best_candidate(scored(claims, corpus, kind, settings)), "qid", "left").na.fill(0, ["n_candidates", "strong", "moderate"])
     return score.verdict(best, kind, settings)
 
 

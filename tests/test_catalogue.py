@@ -42,3 +42,21 @@ def test_entry_imports():
     import __spark_entry__
 
     assert "bm25_topk" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", ["verify_flat", "verify_sequence", "composite", "lcs_ratio", "seq_blocks"])
+def test_passages_far_into_a_document_are_compared(spark, tmp_path, name):
+    item = "seven quiet rivers carry copper lanterns beyond the northern valley every autumn evening"
+    docs = [(i, " ".join(f"filler{i}x{k}" for k in range(200))) for i in range(6)]
+    docs.append((6, docs[0][1].replace("filler0", "other") + " " + item + " " + docs[1][1].replace("filler1", "more")))
+    # more than three short records that rank before the long one
+    docs += [(10 + i, f"copper lanterns valley autumn evening northern rivers {w}") for i, w in enumerate("abcd")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    if name.startswith("verify"):
+        assert [(r.qid, r.idx, r.verdict) for r in rows] == [(0, 6, "Correct")]
+    else:
+        n = len(item.split())
+        whole = {"composite": lambda r: r.coverage == r.lcs_ratio == 1.0, "lcs_ratio": lambda r: r.lcs_ratio == 1.0, "seq_blocks": lambda r: r.matched == n}[name]
+        assert [r.idx for r in rows if whole(r)] == [6]
