@@ -5,10 +5,11 @@ do not count).  Each paragraph hashes to a wide vector and the fingerprint is th
 vectors, every lane modulo a power of two.  Sums commute, so paragraph order does not matter,
 and a paragraph is inserted or deleted by adding or subtracting its vector.
 
-The vector has a count, 8 dense lanes modulo 2**64 that settle equality, and 4 strata of 64 sparse
+The vector has a count, 8 dense lanes modulo 2**64 that settle equality, and 21 strata of 64 sparse
 lanes modulo 2**16: a paragraph adds an odd value to one lane of one stratum (stratum s takes one
 in 2**(s+1), the last the rest).  In the difference of two fingerprints the lanes that are not
-zero count the paragraphs that differ, which gives the likeness.
+zero count the paragraphs that differ, which gives the likeness.  The thinnest strata stay readable
+up to 10**8 differing paragraphs.  Strata after the last one in use are not written.
 
 Null text is an empty one; empty texts have the all-zero fingerprint and likeness 1 to each other.
 Rows are neighbours in ascending ``doc_id`` (null first, ties by text) and keep one row each.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import finish, record_batches, shuffle_partitions
 
-DENSE, STRATA, LANES = 8, 4, 64
+DENSE, STRATA, LANES = 8, 21, 64
 _SEEDS = np.arange(1, DENSE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
@@ -52,8 +53,9 @@ class Fingerprint:
         if not len(h):
             return cls()
         dense = finish(h[:, None] ^ _SEEDS[None, :]).sum(0, dtype=np.uint64)
-        stratum = np.minimum((h & np.uint64(1) == 0).astype(np.int64) * (1 + (h & np.uint64(2) == 0) * (1 + (h & np.uint64(4) == 0))), STRATA - 1)
-        lane = stratum * LANES + ((h >> np.uint64(8)) % np.uint64(LANES)).astype(np.int64)
+        stop = h | np.uint64(1 << STRATA - 1)
+        stratum = np.log2((stop & ~(stop - np.uint64(1))).astype(np.float64)).astype(np.int64)  # trailing zero bits
+        lane = stratum * LANES + ((h >> np.uint64(24)) % np.uint64(LANES)).astype(np.int64)
         sparse = np.bincount(lane, weights=((h >> np.uint64(32)) & np.uint64(0xFFFF) | np.uint64(1)).astype(np.float64), minlength=STRATA * LANES)
         return cls(len(h), dense, (sparse.astype(np.int64) & 0xFFFF).astype(np.uint16))
 
@@ -64,13 +66,16 @@ class Fingerprint:
         return Fingerprint(self.count - other.count, self.dense - other.dense, self.sparse - other.sparse)
 
     def hex(self) -> str:
-        return f"{self.count & (1 << 64) - 1:016x}{self.dense.astype('>u8').tobytes().hex()}{self.sparse.astype('>u2').tobytes().hex()}"
+        used = np.flatnonzero(self.sparse.reshape(STRATA, LANES).any(1))
+        sparse = self.sparse[: (used[-1] + 1) * LANES] if len(used) else self.sparse[:0]
+        return f"{self.count & (1 << 64) - 1:016x}{self.dense.astype('>u8').tobytes().hex()}{sparse.astype('>u2').tobytes().hex()}"
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = bytes.fromhex(text)
         count = int.from_bytes(raw[:8], "big", signed=True)
-        return cls(count, np.frombuffer(raw[8 : 8 + 8 * DENSE], ">u8").astype(np.uint64), np.frombuffer(raw[8 + 8 * DENSE :], ">u2").astype(np.uint16))
+        sparse = np.frombuffer(raw[8 + 8 * DENSE :], ">u2").astype(np.uint16)
+        return cls(count, np.frombuffer(raw[8 : 8 + 8 * DENSE], ">u8").astype(np.uint64), np.pad(sparse, (0, STRATA * LANES - len(sparse))))
 
     def likeness(self, other: Fingerprint) -> float:
         """0 to 1: one minus the estimated share of paragraphs that the two do not share."""

@@ -187,6 +187,14 @@ def test_fingerprint_is_a_multiset_sum():
     assert fingerprints.Fingerprint.parse(f("a\nb").hex()).hex() == f("a\nb").hex()
 
 
+def test_likeness_of_long_texts():
+    for n in (10_000, 200_000):
+        one = fingerprints.fingerprint("\n".join(f"line {i}" for i in range(n)))
+        half = fingerprints.fingerprint("\n".join(f"line {i}" for i in range(n // 2, n + n // 2)))
+        assert 0.35 < one.likeness(half) < 0.65
+        assert fingerprints.Fingerprint.parse(one.hex()).likeness(half) == one.likeness(half)
+
+
 def test_license_scan(spark):
     rows = [(1, "x " * 40 + "Released under the MIT License. " + "y " * 50), (2, "all rights reserved"), (3, None), (4, ""), (5, "the MIT license is nice"), (6, "Licensed under the Apache License, Version 2.0.")]
     got = {r.doc_id: [m.template for m in r.matches] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
