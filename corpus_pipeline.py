@@ -17,8 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each near-duplicate group."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    """One document, the least id, of each near-duplicate group (similarity 0.8 or more)."""
+    dropped = near_dedup.near_duplicates(docs, (80, 100)).where("not kept").select("doc_id")
     return anti(docs, materialise(dropped.distinct(), "near-duplicates"), "doc_id")
 
 

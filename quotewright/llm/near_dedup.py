@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles over ASCII-lower-cased words (fewer words:
 the whole sequence; none: the empty set, linked with nothing).  Equal sets collapse to their
-least id first.  Each of ``TREES`` sorted orders takes ``DEPTH`` MinHash values of a document; the
+least id first.  Each of the forest's sorted orders takes ``DEPTH`` MinHash values of a document; the
 documents that share the first ``BASE`` values of an order are a region.  A region of at
 most ``SMALL`` gives all its pairs.  A larger one gives links to its least id and to neighbours by
 longest common prefix, and is searched again one value deeper, down to ``DEPTH``.
@@ -10,9 +10,10 @@ longest common prefix, and is searched again one value deeper, down to ``DEPTH``
 What the deeper search may separate is made good exactly: regions over ``SMALL`` that still
 hold several components compare, in blocks and on whole sets, every document outside the largest
 component with all documents of other components.  So every pair that shares a base region in
-some order is compared.  A pair of similarity 0.85 shares none with probability below 1e-5.
+some order is compared.  The number of orders follows from the threshold: a pair just there shares
+none with probability below 1e-5.
 
-Candidates are screened on 4-bit MinHash sketches (a pair at the threshold fails 4.6 standard
+Candidates are screened on 4-bit MinHash sketches (a pair at the threshold fails over 4.5 standard
 deviations out) and confirmed on whole sets.  Pairs inside one component are not confirmed
 again, since they cannot change the result.
 
@@ -22,7 +23,9 @@ several texts one is compared.  Extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -36,11 +39,27 @@ from .common import MIX, WordHashes, finish, materialise, sequence_hashes
 from .components import components
 
 SHINGLE = 5
-TREES, DEPTH, BASE, SMALL, CHUNK, BLOCK = 16, 8, 4, 32, 4096, 512
-#: Link where LINK[1] * intersection >= LINK[0] * union.
-LINK = (85, 100)
-#: Least number of equal 4-bit sketch values, of TREES * DEPTH.
-SCREEN = 92
+DEPTH, BASE, SMALL, CHUNK, BLOCK = 8, 4, 32, 4096, 512
+#: Most probability that a pair at the threshold shares no region; deviations by which it passes the screen.
+MISS, DEVIATIONS = 1e-5, 4.55
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Sizes that follow from a threshold: link where whole * intersection >= part * union."""
+
+    part: int
+    whole: int
+
+    @property
+    def trees(self) -> int:
+        return math.ceil(math.log(MISS) / math.log(1 - (self.part / self.whole) ** BASE))
+
+    @property
+    def screen(self) -> int:
+        """Least number of equal 4-bit sketch values, of trees * DEPTH."""
+        n, p = self.trees * DEPTH, 1 / 16 + 15 / 16 * self.part / self.whole
+        return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -56,14 +75,14 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(sequence_hashes(words, SHINGLE))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def _permutations(trees: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    k = TREES * DEPTH
+    k = trees * DEPTH
     return rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32), rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def minhash(shingles: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minima over a set that is not empty."""
+    """Minima, one a permutation, over a set that is not empty."""
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(flips), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(h), 1024):
@@ -80,11 +99,11 @@ def sketch(signature: np.ndarray) -> bytes:
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature binary, sketch binary"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, trees: int) -> DataFrame:
     """Per document: set size, 128-bit set fingerprint, MinHash signature and its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (flips, factors) = WordHashes(), _permutations()
+        hashes, (flips, factors) = WordHashes(), _permutations(trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
@@ -181,19 +200,20 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((z & 15) == 0).sum(-1) + ((z & 240) == 0).sum(-1)
 
 
-def screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def screened(pairs: DataFrame, sketches: DataFrame, forest: Forest) -> DataFrame:
     """Pairs whose set sizes and sketches allow a link, with the number of equal values."""
+    least = forest.screen
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
                 same = _alike(x, y)
-                ok = pa.array(same >= SCREEN)
+                ok = pa.array(same >= least)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
 
     one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    sized = pairs.join(one, "a").join(two, "b").where(LINK[1] * F.least("n_a", "n_b") >= LINK[0] * F.greatest("n_a", "n_b"))
+    sized = pairs.join(one, "a").join(two, "b").where(forest.whole * F.least("n_a", "n_b") >= forest.part * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(rows, "a long, b long, same int")
 
 
@@ -211,7 +231,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.select("id", "text").mapInArrow(rows, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
     """The pairs (a, b) that are links on their whole sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +240,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(LINK[1] * both >= LINK[0] * (len(x) + len(y) - both))
+                ok.append(forest.whole * both >= forest.part * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
@@ -235,7 +255,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
     """Links (a, b) between components inside the regions over SMALL, found exactly in blocks.
 
     Documents outside a region's largest component meet all of its documents, whole sets at
@@ -271,7 +291,7 @@ def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
                     n = hi - lo
                     at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                     both = np.bincount(owner[at], minlength=len(ids))
-                    hit = (LINK[1] * both >= LINK[0] * (len(x) + sizes_y - both)) & (of != r[5])
+                    hit = (forest.whole * both >= forest.part * (len(x) + sizes_y - both)) & (of != r[5])
                     hit &= ~(keys[:, :tree] == np.array(r[7][:tree])).any(1)
                     if hit.any():
                         hit = np.flatnonzero(hit)
@@ -284,15 +304,17 @@ def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    signed = materialise(signatures(docs), "signatures")
+def near_duplicates(docs: DataFrame, link: tuple[int, int] = (85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; links from a similarity of link[0] / link[1] on."""
+    forest = Forest(*link)
+    trees = forest.trees
+    signed = materialise(signatures(docs, trees), "signatures")
     full = signed.where("n_shingles > 0")
     copies = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     first = full.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     width = 4 * DEPTH
-    orders = [F.substring("signature", t * width + 1, width) for t in range(TREES)]
-    keys = [F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 4 * BASE)) for t in range(TREES)]
+    orders = [F.substring("signature", t * width + 1, width) for t in range(trees)]
+    keys = [F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 4 * BASE)) for t in range(trees)]
     sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", F.array(*keys).alias("keys"))
     spread = first.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*(F.struct(o.alias("order"), k.alias("key")) for o, k in zip(orders, keys, strict=True)))).alias("tree", "at"))
     spread = spread.select("id", "tree", "at.order", "at.key")
@@ -300,17 +322,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(spread.join(regions, "key"), "regions")
     sketches = materialise(sketches.join(members.select("id").distinct(), "id", "left_semi"), "sketches")
 
-    pairs = materialise(screened(candidates(members), sketches), "pairs")
+    pairs = materialise(screened(candidates(members), sketches, forest), "pairs")
     large = members.where(F.col("n") > SMALL).select("key", "tree", "id", "n").join(sketches.select("id", "keys"), "id")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     sets = materialise(shingle_sets(docs, ids), "shingle-sets")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    links = materialise(confirmed(best, sets), "links")
+    links = materialise(confirmed(best, sets, forest), "links")
     labels = materialise(components(links), "components")
-    links = links.unionByName(materialise(confirmed(_apart(pairs, labels), sets), "links"))
+    links = links.unionByName(materialise(confirmed(_apart(pairs, labels), sets, forest), "links"))
     labels = materialise(components(links), "components")
-    more = materialise(block_links(large, labels, sets), "links")
+    more = materialise(block_links(large, labels, sets, forest), "links")
     if more.head(1):
         labels = materialise(components(links.unionByName(more)), "components")
 

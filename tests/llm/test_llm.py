@@ -117,6 +117,20 @@ def test_near_duplicates_equal_all_pairs(docs, texts):
     assert {i: (got[i].n_shingles, got[i].component_id, got[i].kept) for i in texts} == {i: (len(sets[i]), find(i), find(i) == i) for i in texts}
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    w = words(3, 124)
+    near = " ".join([*w[:60], "x", *w[61:]])  # 115 of 125 shingles: 0.92
+    mid = " ".join(f"y{k}" if k in (30, 80) else v for k, v in enumerate(w))  # 110 of 130: 0.846
+    low = " ".join(f"z{k}" if k in (30, 60, 90) else v for k, v in enumerate(words(4, 124)))  # 105 of 135: 0.778
+    d = spark.createDataFrame([(1, " ".join(w)), (2, near), (3, mid), (4, " ".join(words(4, 124))), (5, low)], "doc_id long, text string")
+    left = corpus_pipeline.minhash_near_dedup(spark, d, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5]
+    # 3 differs from 2 more than from 1, and only the pipeline's threshold reaches 0.846
+    assert {r.doc_id for r in near_dedup.near_duplicates(d).where("kept").collect()} == {1, 3, 4, 5}
+
+
 def test_repeats_equal_brute_force(docs, texts):
     seen, got = set(), {r.doc_id: r for r in substring_dedup.removals(docs).collect()}
     for i in sorted(texts):
