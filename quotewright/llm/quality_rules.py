@@ -3,12 +3,12 @@
 Every document gets word, symbol, line and repetition counts from built-in functions only.  Each
 (language, source) region builds one KLL sketch per metric over its documents that pass the
 base rule; sketches of a language's regions merge into the language's sketch, which serves
-regions too small for one of their own.  Robust fences from the sketches' quartiles replace fixed
-cutoffs, and a join brings them to the documents.
+regions too small for one of their own, and those of all languages into one that serves languages
+too small for theirs.  Robust fences from the sketches' quartiles and tails replace fixed cutoffs,
+and a join brings them to the documents.
 
 Null text counts as no text; null ``lang`` or ``source`` is a region of its own (``""``).  A
-language with fewer than ``min_docs`` usable documents has no fences: the base rule alone
-decides.  Repeated rows are judged one by one; extra columns are ignored; an empty table gives
+table with fewer than ``min_docs`` usable documents has no fences: the base rule alone decides.  Repeated rows are judged one by one; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLANK = r"[\x20\x09-\x0D]+"
-#: metric -> (reject below the lower fence, reject above the upper one, least half-width)
+#: metric -> (reject below the lower fence, reject above the upper one, least spread)
 METRICS = {
-    "mean_word_chars": (True, True, 1.0),
-    "symbols_per_word": (False, True, 0.02),
-    "dup_line_share": (False, True, 0.05),
-    "repeat_share": (False, True, 0.05),
+    "mean_word_chars": (True, True, 0.05),
+    "symbols_per_word": (False, True, 0.002),
+    "dup_line_share": (False, True, 0.002),
+    "repeat_share": (False, True, 0.002),
 }
 SKETCH_K = 4096
 MIN_DOCS = 50
 WIDTH = 4.0
+#: The spread to a side is the larger of the quartiles' distance and that from the median to this tail.
+TAIL = 0.1
 
 
 def _once(value: Column, body) -> Column:
@@ -87,19 +89,21 @@ def fences(judged: DataFrame, min_docs: int = MIN_DOCS, k: int = SKETCH_K, width
         F.count_if(ok).alias("n"), *(F.kll_sketch_agg_double(F.when(ok, F.col(m)), F.lit(k)).alias(f"s_{m}") for m in METRICS)
     )
     by_lang = per.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n_of"), *(F.kll_merge_agg_double(f"s_{m}", F.lit(k)).alias(f"l_{m}") for m in METRICS))
-    both = per.join(by_lang, F.col("lang") == F.col("of"))
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    whole = by_lang.agg(F.sum("n_of").alias("n_all"), *(F.kll_merge_agg_double(f"l_{m}", F.lit(k)).alias(f"a_{m}") for m in METRICS))
+    both = per.join(by_lang, F.col("lang") == F.col("of")).join(F.broadcast(whole))  # one row
+    points = F.array(*map(F.lit, (TAIL, 0.25, 0.5, 0.75, 1 - TAIL)))
     q = {
-        m: F.when(F.col("n") >= min_docs, F.kll_sketch_get_quantile_double(f"s_{m}", quartiles)).when(
-            F.col("n_of") >= min_docs, F.kll_sketch_get_quantile_double(f"l_{m}", quartiles)
-        )
+        m: F.when(F.col("n") >= min_docs, F.kll_sketch_get_quantile_double(f"s_{m}", points)).when(
+            F.col("n_of") >= min_docs, F.kll_sketch_get_quantile_double(f"l_{m}", points)
+        ).when(F.col("n_all") >= min_docs, F.kll_sketch_get_quantile_double(f"a_{m}", points))
         for m in METRICS
     }
     found = both.select("lang", "source", *(q[m].alias(m) for m in METRICS))
     out = []
     for m, (low, high, least) in METRICS.items():
-        half = width * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(least))
-        out += [(F.col(m)[1] - half if low else F.lit(None).cast("double")).alias(f"{m}_low"), (F.col(m)[1] + half if high else F.lit(None).cast("double")).alias(f"{m}_high")]
+        tail, first, middle, third, top = (F.col(m)[i] for i in range(5))
+        below, above = (width * F.greatest(third - first, side, F.lit(least)) for side in (middle - tail, top - middle))
+        out += [(middle - below if low else F.lit(None).cast("double")).alias(f"{m}_low"), (middle + above if high else F.lit(None).cast("double")).alias(f"{m}_high")]
     return found.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *out)
 
 

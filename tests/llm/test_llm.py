@@ -63,6 +63,15 @@ def test_quality_counts(docs, texts):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_fences_follow_the_spread_and_reach_small_languages(spark):
+    rows = [(i, " ".join(f"{w[:4]:0<4}{k % 3}" for k, w in enumerate(words(i, 80))), "en" if i < 120 else "de" if i < 123 else "xx", "web") for i in range(130)]
+    rows.append((900, " ".join(f"{w:0<5}0" for w in words(900, 80)), "en", "web"))  # one letter longer a word: few such
+    rows.append((901, rows[0][1] + "\n" + "\n".join(f"own{k} line" for k in range(10)) + "\nown1 line", "en", "web"))
+    rows.append((902, " ".join(f"{w:0<12}" for w in words(902, 80)), "xx", "web"))
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, kept in got.items() if not kept and i >= 900] == [900, 901, 902] and all(got[i] for i in range(130))
+
+
 def test_pieces_equal_the_library():
     odd = ["", "a  b", " a\n", "\n\na b", "a b", "a\t b", "it's 's", "<|endoftext|> x", "a\r\nb", "日本 語\n。", "a\x1c b"]
     rng = np.random.default_rng(3)
