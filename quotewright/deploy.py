@@ -9,10 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once an application, through Spark's own file server."""
+    """Send the package to the executors, once an application, through Spark's own file server.
+
+    Texts reach the Python workers in batches bounded by bytes, unless the session sets a bound itself.
+    """
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), "2147483647b"):
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
