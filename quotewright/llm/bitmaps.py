@@ -6,7 +6,7 @@ may collide, so a join decides afterwards; a bitmap that fills up lets everythin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,36 @@ def unlikely(rows: DataFrame, key: str, held: Broadcast) -> DataFrame:
     return _by_bitmap(rows, key, held, False)
 
 
-def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is in the one column of ``ids``, thinned before the join's shuffle."""
-    return likely(rows, key, bitmap(ids)).join(ids.toDF(key).where(F.col(key).isNotNull()), key, "left_semi")
+#: A key with ``HOT`` x ``FAN``**k rows is dealt over ``FAN``**(k+1) salts, up to ``LEVELS`` times.
+HOT, FAN, LEVELS = 128, 16, 6
 
 
-def anti(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is not in the one column of ``ids``; most are not shuffled."""
-    held = bitmap(ids)
-    return unlikely(rows, key, held).unionByName(likely(rows, key, held).join(ids.toDF(key), key, "left_anti"))
+def hot_keys(counts: DataFrame) -> list[Broadcast]:
+    """Bitmaps of the keys of ``counts`` (a long key, its number of rows) over each level's bound."""
+    key, n = counts.columns
+    most = counts.agg(F.max(n)).first()[0] or 0
+    return [bitmap(counts.where(F.col(n) > HOT * FAN**k).select(key)) for k in range(LEVELS) if most > HOT * FAN**k]
+
+
+def _salted(rows: DataFrame, key: str, hot: list[Broadcast]) -> DataFrame:
+    """``rows`` with ``salts``, the number of salts of its key: the same for equal keys, whatever the table."""
+    place = rows.columns.index(key)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(place).to_numpy(zero_copy_only=False)
+            level = np.zeros(len(keys), np.int64)
+            for h in hot:
+                level += may_hold(h.value, keys)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(FAN**level)], names=[*b.schema.names, "salts"])
+
+    return rows.mapInArrow(add, rows.select("*", F.lit(0).cast("long").alias("salts")).schema)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: list[Broadcast], spread: list[str], how: str = "inner", also: Sequence[str] = ()) -> DataFrame:
+    """``rows`` join ``table`` on the long ``key`` (never null) and ``also``; hot keys are dealt by a hash of the columns ``spread``."""
+    if not hot:
+        return rows.join(table, [key, *also], how)
+    left = _salted(rows, key, hot).withColumn("salt", F.pmod(F.xxhash64(*spread), F.col("salts"))).drop("salts")
+    right = _salted(table, key, hot).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return left.join(right, [key, *also, "salt"], how).drop("salt")

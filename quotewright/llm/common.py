@@ -2,55 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Multiplier of the rolling word-sequence hash (odd, so every step is a bijection).
-MIX = np.uint64(0x9E3779B97F4A7C15)
+from ..storage import discard, materialise, scratch_path, scratch_root  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = set_dir.get() if set_dir.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quotewright-"))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
+def free_name(taken: Iterable[str], wish: str) -> str:
+    """``wish``, with underscores added until no column (whatever its case) is named so."""
+    held = {t.lower() for t in taken}
+    while wish.lower() in held:
+        wish += "_"
+    return wish
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+def text_tag(text: str | Column = "text") -> Column:
+    """A hash that tells the texts of one id apart (null as the empty text)."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as a shared Parquet table and read it back.
-
-    Cuts lineage at the cost of one write; the files survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def filesystem(uri: str):
@@ -76,38 +59,19 @@ def record_batches(columns: Iterable[tuple[str, pa.DataType]], rows: Iterable[tu
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=schema)
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, computed once per word and worker; bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` for ``mapInArrow``, giving freed memory back to the system when a task ends.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def finish(h: np.ndarray) -> np.ndarray:
-    """Avalanche of 64-bit values, in place."""
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
+    Workers outlive their tasks, and several stages' workers share an executor.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
 
-def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` consecutive word hashes (fewer words: none)."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = words[:n].copy()
-    for i in range(1, k):
-        out *= MIX
-        out += words[i : n + i]
-    return finish(out)
+    return run

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,10 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = materialise(large, "large-star")
+        e, last = materialise(large, "large-star"), e
+        discard(last)
         least = _least(e)
         small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        e = materialise(small, "small-star")
+        e, last = materialise(small, "small-star"), e
+        discard(last)
         after = state(e)
         if after == before:
             break

@@ -12,7 +12,9 @@ zero count the paragraphs that differ, which gives the likeness.  The thinnest s
 up to 10**8 differing paragraphs.  Strata after the last one in use are not written.
 
 Null text is an empty one; empty texts have the all-zero fingerprint and likeness 1 to each other.
-Rows are neighbours in ascending ``doc_id`` (null first, ties by text) and keep one row each.
+Rows are neighbours in ascending ``doc_id`` (null first, ties by text) and keep one row each, repeated
+rows too; a single row follows itself.  Extra columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import finish, record_batches, shuffle_partitions
+from .common import record_batches, shuffle_partitions, tidy
+from .wordhash import finish
 
 DENSE, STRATA, LANES = 8, 21, 64
 _SEEDS = np.arange(1, DENSE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
@@ -109,7 +112,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     shuffle of the texts.  The bounds and firsts on the driver are one value a partition.
     """
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / n for i in range(1, n)] or [0.5]
     bounds = sorted(set(rows.select(F.percentile_approx("doc_id", shares, 10 * n)).first()[0] or []))
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id")))) if bounds else F.lit(0)
@@ -123,7 +126,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     both = rows.select("part", F.lit(0).alias("is_following"), "doc_id", "text").unionByName(
         follow.select(F.col("before").alias("part"), F.lit(1).alias("is_following"), "d.doc_id", "d.text")
     )
-    return both.repartition(n, "part").sortWithinPartitions("part", "is_following", "doc_id", "text")
+    return both.repartitionById(n, "part").sortWithinPartitions("part", "is_following", "doc_id", "text")
 
 
 COLUMNS = (
@@ -148,4 +151,4 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 last = None if following else (part, doc, text, print_)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_following(docs).mapInArrow(lambda batches: record_batches(COLUMNS, rows(batches), 1024), schema)
+    return with_following(docs).mapInArrow(tidy(lambda batches: record_batches(COLUMNS, rows(batches), 1024)), schema)

@@ -1,24 +1,26 @@
 """Near-duplicate documents by a MinHash LSH forest, with links confirmed on full shingle sets.
 
 A document's set is its distinct five-word shingles over ASCII-lower-cased words (fewer words:
-the whole sequence; none: the empty set, linked with nothing).  Equal sets collapse to their
-least id first.  Each of the forest's sorted orders takes ``DEPTH`` MinHash values of a document; the
-documents that share the first ``BASE`` values of an order are a region.  A region of at
-most ``SMALL`` gives all its pairs.  A larger one gives links to its least id and to neighbours by
-longest common prefix, and is searched again one value deeper, down to ``DEPTH``.
-
-What the deeper search may separate is made good exactly: regions over ``SMALL`` that still
-hold several components compare, in blocks and on whole sets, every document outside the largest
-component with all documents of other components.  So every pair that shares a base region in
-some order is compared.  The number of orders follows from the threshold: a pair just there shares
-none with probability below 1e-5.
-
-Candidates are screened on 4-bit MinHash sketches (a pair at the threshold fails over 4.5 standard
-deviations out) and confirmed on whole sets.  Pairs inside one component are not confirmed
-again, since they cannot change the result.
-
-Null text is an empty one.  Rows that repeat an id and text share one fate.  Of an id with
-several texts one is compared.  Extra columns are ignored; an empty table gives an empty result.
+the whole sequence; none: the empty set, linked with nothing).  Documents of equal sets collapse to one
+node first.  Each of the forest's sorted orders takes ``DEPTH`` MinHash values of a node; the
+nodes that share the first ``BASE`` values of an order are a region.  Depth adapts to the region: one of
+at most ``LEAF`` members is a leaf and gives all its pairs; a larger one gives links to its least
+member and to neighbours by longest common prefix, and is split one value deeper, down to ``DEPTH``.
+
+What a split may separate is made good exactly: regions over ``LEAF`` that still hold several
+components compare, in blocks and on whole sets, every member outside the largest component with
+all members of other components.  So every pair that shares a base region in some order is compared.
+The number of orders follows from the threshold: a pair just there shares none with probability
+below 1e-5.
+
+Candidates are screened on 4-bit MinHash sketches (a pair at the threshold fails six standard
+deviations out, about 1e-9) and confirmed on whole sets.  Pairs inside one component are not confirmed
+again, since they cannot change the result.  Joins deal keys with many rows over salts.
+
+Null text is an empty one.  Each row is judged by its own text, so different texts of one id may
+differ in their component; rows that repeat an id and text share one fate.  A component is named by its
+least id; a null id names it only where there is no other.  Extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import semi
-from .common import MIX, WordHashes, finish, materialise, sequence_hashes
+from .bitmaps import bitmap, hot_keys, likely, salted_join, unlikely
+from .common import discard, materialise, text_tag, tidy
 from .components import components
+from .wordhash import MIX, Chunk, chunks, finish, sequence_hashes
 
 SHINGLE = 5
-DEPTH, BASE, SMALL, CHUNK, BLOCK = 8, 4, 32, 4096, 512
+DEPTH, BASE, LEAF, DEALT, BLOCK = 8, 4, 32, 512, 512
 #: Most probability that a pair at the threshold shares no region; deviations by which it passes the screen.
-MISS, DEVIATIONS = 1e-5, 4.55
+MISS, DEVIATIONS = 1e-5, 6.0
 
 
 @dataclass(frozen=True)
@@ -62,17 +65,26 @@ class Forest:
         return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    words = hashes.of((text or "").encode().lower().split())
-    if not len(words):
-        return np.empty(0, np.uint64)
-    if len(words) < SHINGLE:
-        whole = np.array([len(words)], np.uint64)
-        for w in words:
-            whole = whole * MIX + w
-        return finish(whole)
-    return np.unique(sequence_hashes(words, SHINGLE))
+def shingle_sets_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, first of each text and the end): the sorted distinct shingles of a chunk's texts."""
+    places = c.valid(SHINGLE)
+    h, of = sequence_hashes(c.hashes, SHINGLE)[places] if len(places) else c.hashes[:0], c.text[places]
+    words = np.diff(c.first)
+    few = np.flatnonzero((words > 0) & (words < SHINGLE))
+    if len(few):
+        whole = words[few].astype(np.uint64)
+        for k in range(SHINGLE - 1):
+            more = words[few] > k
+            whole[more] = whole[more] * MIX + c.hashes[c.first[few[more]] + k]
+        h, of = np.concatenate((h, finish(whole))), np.concatenate((of, few))
+        order = np.argsort(of, kind="stable")
+        h, of = h[order], of[order]
+    edges = np.searchsorted(of, np.arange(len(words) + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(new)))[edges]
 
 
 def _permutations(trees: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,48 +93,57 @@ def _permutations(trees: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32), rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32) | np.uint32(1)
 
 
-def minhash(shingles: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Minima, one a permutation, over a set that is not empty."""
+def minhash(shingles: np.ndarray, first: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Minima, one a permutation, of each set (rows); sets are not empty and lie side by side."""
     h = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(flips), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(h), 1024):
-        np.minimum(least, ((h[None, i : i + 1024] ^ flips) * factors).min(1), out=least)
-    return least
+    out = np.empty((len(flips), len(first)), np.uint32)
+    for k in range(len(flips)):
+        np.minimum.reduceat((h ^ flips[k]) * factors[k], first, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
-def sketch(signature: np.ndarray) -> bytes:
-    """The 4-bit sketch of a signature, two values a byte."""
-    low = (signature >> np.uint32(7)).astype(np.uint8) & 15
-    return (low[::2] << 4 | low[1::2]).tobytes()
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """The 4-bit sketches of signatures (rows), two values a byte."""
+    low = (signatures >> np.uint32(7)).astype(np.uint8) & 15
+    return low[:, ::2] << 4 | low[:, 1::2]
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature binary, sketch binary"
+def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    f = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True)
+
+
+SIGNED = "doc_id long, tag long, n_shingles long, f1 long, f2 long, signature binary, sketch binary"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag"), "text")
 
 
 def signatures(docs: DataFrame, trees: int) -> DataFrame:
     """Per document: set size, 128-bit set fingerprint, MinHash signature and its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (flips, factors) = WordHashes(), _permutations(trees)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                n, f1, f2, sig, sk = [], [], [], [], []
-                for text in batch.column(1):
-                    s = shingle_set(text.as_py(), hashes)
-                    n.append(len(s))
-                    f = xxhash.xxh3_128_digest(s.tobytes())
-                    f1.append(int.from_bytes(f[:8], "little", signed=True))
-                    f2.append(int.from_bytes(f[8:], "little", signed=True))
-                    m = minhash(s, flips, factors) if len(s) else None
-                    sig.append(None if m is None else m.astype(">u4").tobytes())
-                    sk.append(None if m is None else sketch(m))
+        flips, factors = _permutations(trees)
+        for b in batches:
+            for c in chunks(b.column(2), "lower"):
+                s, first = shingle_sets_of(c)
+                n = np.diff(first)
+                some = np.flatnonzero(n)
+                prints = [_fingerprint(s[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                sig: list = [None] * len(n)
+                sk: list = [None] * len(n)
+                if len(some):
+                    m = minhash(s, first[some], flips, factors)
+                    for i, x, y in zip(some.tolist(), m.astype(">u4"), sketches(m), strict=True):
+                        sig[i], sk[i] = x.tobytes(), y.tobytes()
+                own = b.slice(c.rows.start, len(c.rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.array(sk, pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "signature", "sketch"],
+                    [own.column(0), own.column(1), pa.array(n, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sig, pa.binary()), pa.array(sk, pa.binary())],
+                    names=[x.split()[0] for x in SIGNED.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, SIGNED)
+    return _keyed(docs).mapInArrow(tidy(rows), SIGNED)
 
 
 def region_pairs(ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -131,7 +152,7 @@ def region_pairs(ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarr
     while todo:
         lo, hi, depth, above = todo.pop()
         own = ids[lo:hi]
-        if hi - lo <= SMALL:
+        if hi - lo <= LEAF:
             i, j = np.triu_indices(hi - lo, 1)
             yield own[i], own[j]
             continue
@@ -183,14 +204,14 @@ def candidates(members: DataFrame) -> DataFrame:
         def found():
             for _, run in _groups(batches, 2):
                 ids = np.array([r[4] for r in run], np.int64)
-                if run[0][5] > CHUNK:
+                if run[0][5] > DEALT:
                     yield ids, np.full(len(ids), run[0][3])
                 if len(run) > 1:
                     yield from region_pairs(ids, np.frombuffer(b"".join(r[2] for r in run), ">u4").reshape(len(run), DEPTH))
 
         yield from _pair_batches(found())
 
-    salted = members.select("key", F.when(F.col("n") > CHUNK, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(0).alias("salt"), "order", "lead", "id", "n")
+    salted = members.select("key", F.when(F.col("n") > DEALT, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / DEALT))).otherwise(0).alias("salt"), "order", "lead", "id", "n")
     return salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "order", "id").mapInArrow(rows, "a long, b long").distinct()
 
 
@@ -200,7 +221,13 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((z & 15) == 0).sum(-1) + ((z & 240) == 0).sum(-1)
 
 
-def screened(pairs: DataFrame, sketches: DataFrame, forest: Forest) -> DataFrame:
+def _both(pairs: DataFrame, table: DataFrame, columns: list[str], hot: list, how: str = "inner") -> DataFrame:
+    """``pairs`` (a, b, ...) with ``columns`` of ``table`` (id, ...) for each end; ends that lead many pairs are salted."""
+    one, two = (table.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+    return salted_join(pairs, one, "a", hot, ["b"], how).join(two, "b", how)
+
+
+def screened(pairs: DataFrame, nodes: DataFrame, hot: list, forest: Forest) -> DataFrame:
     """Pairs whose set sizes and sketches allow a link, with the number of equal values."""
     least = forest.screen
 
@@ -212,26 +239,26 @@ def screened(pairs: DataFrame, sketches: DataFrame, forest: Forest) -> DataFrame
                 ok = pa.array(same >= least)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
 
-    one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    sized = pairs.join(one, "a").join(two, "b").where(forest.whole * F.least("n_a", "n_b") >= forest.part * F.greatest("n_a", "n_b"))
+    sized = _both(pairs, nodes, ["sketch", "n_shingles"], hot).where(forest.whole * F.least("n_shingles_a", "n_shingles_b") >= forest.part * F.greatest("n_shingles_a", "n_shingles_b"))
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(rows, "a long, b long, same int")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``; the set as packed 64-bit hashes."""
+def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ``chosen`` (doc_id, tag, id); the set as packed 64-bit hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+        for b in batches:
+            for c in chunks(b.column(1), "lower"):
+                s, first = shingle_sets_of(c)
+                sets = [s[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.rows.start, len(c.rows)), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    chosen = semi(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
-    return chosen.select("id", "text").mapInArrow(rows, "id long, shingles binary").dropDuplicates(["id"])
+    thin = likely(_keyed(docs), "tag", bitmap(chosen.select("tag")))
+    found = thin.join(chosen.select(F.col("doc_id").alias("of"), F.col("tag").alias("with"), "id"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("with")))
+    return found.select("id", "text").mapInArrow(tidy(rows), "id long, shingles binary").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, hot: list, forest: Forest) -> DataFrame:
     """The pairs (a, b) that are links on their whole sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,19 +271,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(rows, "a long, b long")
+    return _both(pairs.select("a", "b"), sets, ["shingles"], hot).select("a", "b", "shingles_a", "shingles_b").mapInArrow(rows, "a long, b long")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
     """Pairs whose ends are not known to be in one component."""
-    one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    named = _both(pairs, labels.select(F.col("node").alias("id"), F.col("component").alias("of")), ["of"], hot, "left")
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    """Links (a, b) between components inside the regions over SMALL, found exactly in blocks.
+def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, hot: list, forest: Forest) -> DataFrame:
+    """Links (a, b) between components inside the regions over LEAF, found exactly in blocks.
 
     Documents outside a region's largest component meet all of its documents, whole sets at
     hand; a pair that shares a region in an earlier order has been compared there.  Of a document's
@@ -265,7 +290,7 @@ def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, forest: Fo
     named = large.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "tree", "id", "n", "keys", F.coalesce("component", "id").alias("of"))
     sizes = named.groupBy("key", "of").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.count("*").alias("components"), F.max("size").alias("most"))
-    mixed = named.join(main.where("components > 1"), "key").join(sets, "id")
+    mixed = salted_join(named, main.where("components > 1"), "key", hot, ["id"]).join(sets, "id")
     outside = F.col("of") != F.col("main")
     row_blocks, out_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
     spot, rest = F.xxhash64("id", F.lit(7)), ["id", "of", "tree", "keys", "shingles"]
@@ -304,39 +329,72 @@ def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, forest: Fo
     return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, link: tuple[int, int] = (85, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document; links from a similarity of link[0] / link[1] on."""
+def linked(docs: DataFrame, link: tuple[int, int] = (85, 100)) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id and kept of every row; links from a similarity of link[0] / link[1] on."""
     forest = Forest(*link)
     trees = forest.trees
-    signed = materialise(signatures(docs, trees), "signatures")
-    full = signed.where("n_shingles > 0")
-    copies = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    first = full.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    full = materialise(signatures(docs, trees), "signatures")
+    equal = full.where("n_shingles > 0").groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("row"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "sketch"))
+    )
+    # a node is named by 64 bits of its set's fingerprint
+    first = materialise(equal.select(F.col("f1").alias("id"), "f2", "least", "row.doc_id", "row.tag", "n", "n_shingles", "signature", "sketch"), "nodes")
+    signed = materialise(full.select("doc_id", "tag", "n_shingles", "f1", "f2"), "fingerprints")
+    discard(full)
     width = 4 * DEPTH
     orders = [F.substring("signature", t * width + 1, width) for t in range(trees)]
     keys = [F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 4 * BASE)) for t in range(trees)]
-    sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", F.array(*keys).alias("keys"))
-    spread = first.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*(F.struct(o.alias("order"), k.alias("key")) for o, k in zip(orders, keys, strict=True)))).alias("tree", "at"))
+    spread = first.select("id", F.posexplode(F.array(*(F.struct(o.alias("order"), k.alias("key")) for o, k in zip(orders, keys, strict=True)))).alias("tree", "at"))
     spread = spread.select("id", "tree", "at.order", "at.key")
-    regions = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = materialise(spread.join(regions, "key"), "regions")
-    sketches = materialise(sketches.join(members.select("id").distinct(), "id", "left_semi"), "sketches")
-
-    pairs = materialise(screened(candidates(members), sketches, forest), "pairs")
-    large = members.where(F.col("n") > SMALL).select("key", "tree", "id", "n").join(sketches.select("id", "keys"), "id")
+    regions = materialise(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1"), "regions")
+    hot_regions = hot_keys(regions.select("key", "n"))
+    members = materialise(salted_join(spread, regions, "key", hot_regions, ["id"]), "members")
+    nodes = first.select("id", "n_shingles", "sketch", F.array(*keys).alias("keys"), "doc_id", "tag")
+    nodes = materialise(nodes.join(members.select("id").distinct(), "id", "left_semi"), "nodes")
+    names = materialise(first.select("id", "f2", "least", "n"), "node-names")
+    discard(first, regions)
+
+    proposed = materialise(candidates(members), "candidates")
+    hot = hot_keys(proposed.groupBy("a").agg(F.count("*").alias("n")))
+    pairs = materialise(screened(proposed, nodes, hot, forest), "pairs")
+    discard(proposed)
+    large = members.where(F.col("n") > LEAF).select("key", "tree", "id", "n").join(nodes.select("id", "keys"), "id")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
-    sets = materialise(shingle_sets(docs, ids), "shingle-sets")
+    sets = materialise(shingle_sets(docs, materialise(nodes.select("doc_id", "tag", "id").join(ids, "id", "left_semi"), "chosen")), "shingle-sets")
 
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    links = materialise(confirmed(best, sets, forest), "links")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))
+    links = materialise(confirmed(best, sets, hot, forest), "links")
     labels = materialise(components(links), "components")
-    links = links.unionByName(materialise(confirmed(_apart(pairs, labels), sets, forest), "links"))
+    links = links.unionByName(materialise(confirmed(_apart(pairs, labels, hot), sets, hot, forest), "links"))
     labels = materialise(components(links), "components")
-    more = materialise(block_links(large, labels, sets, forest), "links")
+    more = materialise(block_links(large, labels, sets, hot_regions, forest), "links")
     if more.head(1):
         labels = materialise(components(links.unionByName(more)), "components")
 
-    reps = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("of"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a component is named by its least id, then its sets tell their documents; single sets tell their own
+    discard(members, nodes, sets, pairs)
+    of = names.select(F.col("id").alias("f1"), "f2", "least", "n").join(labels.withColumnRenamed("node", "f1"), "f1", "left")
+    joined = of.where("component is not null")
+    least = joined.groupBy("component").agg(F.min("least").alias("name"))
+    hot_names = hot_keys(joined.groupBy("component").agg(F.count("*").alias("m")))
+    named = salted_join(joined, least, "component", hot_names, ["f1"]).select("f1", "f2", "n", "name").unionByName(of.where("component is null and n > 1").select("f1", "f2", "n", F.col("least").alias("name")))
+    named = materialise(named, "named")
+    discard(names)
+    hot_sets = hot_keys(named.groupBy("f1").agg(F.sum("n").alias("n")))
+    out = salted_join(signed.select("doc_id", "tag", "n_shingles", "f1", "f2"), named.select("f1", "f2", "name", F.lit(True).alias("shared")), "f1", hot_sets, ["doc_id", "tag"], "left", ["f2"])
+    component = F.when((F.col("n_shingles") > 0) & F.col("shared"), F.col("name")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "tag", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, link: tuple[int, int] = (85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return linked(docs, link).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, link: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs``, with all their columns, without those that are not kept."""
+    gone = materialise(linked(docs, link).where("not kept").select(F.col("doc_id").alias("of"), F.col("tag").alias("with")).distinct(), "near-duplicates")
+    row = docs.select(F.col("doc_id").cast("long").alias("id"), text_tag().alias("tag"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = bitmap(gone.select("with"))
+    left = likely(row, "tag", held).join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("with")), "left_anti")
+    return unlikely(row, "tag", held).select("row").unionByName(left.select("row")).select("row.*")
