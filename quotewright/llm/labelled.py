@@ -14,8 +14,11 @@ def remainder(folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled documents, the least in a hash order of ids.
 
-    The ids are broadcast to the documents: ``bound`` rows of two numbers.
+    An id with several labels has the greatest; an id with several texts is represented by the least
+    (null counts as empty).  So the sample does not depend on how tables are partitioned.  The ids
+    are broadcast to the documents: ``bound`` rows of two numbers.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of"))
+    chosen = chosen.agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("of"), "of").limit(bound)
+    texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "of").groupBy("of", "label").agg(F.min("text").alias("text")).select("text", "label")

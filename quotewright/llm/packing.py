@@ -4,9 +4,10 @@ A document's ids (with an end id) are one piece, or if longer than a sequence ar
 full length, the first taking the rest.  Packing sees lengths only: pieces of equal
 length stand for one another.  The counts by length (at most ``CAPACITY`` numbers, whatever the
 input) are solved in levels: at a level of multiplicity ``m`` the unit problem holds ``count // m`` of
-each length, at most about ``UNIT`` pieces; its packing stands ``m`` times, and bins that are not
-well filled go back to the next level, of half the multiplicity, down to 1.  So the work grows with
-the logarithm of the input.
+each length, and its packing stands ``m`` times.  The worst-filled bins, up to a quarter of ``UNIT``
+pieces, go back to the next level, of half the multiplicity, down to 1; the others stay as they are,
+full or not.  The next unit problem so has at most twice what went back and one piece more a length:
+never over ``UNIT`` pieces, whatever the lengths.  The work grows with the logarithm of the input.
 
 A unit problem is evolved on ``ISLANDS`` tasks.  An individual is a set of bins.  Crossover injects
 the best-filled half of one parent's bins into another, removes the bins of the receiver that
@@ -17,8 +18,8 @@ next island.  The fitness is Falkenauer's mean squared fill, which a packing in
 Bins then become slots per length.  A piece finds its slot by its rank among the pieces of its
 length, from counts by partition; no length is collected, sorted or shuffled as a group.
 
-Null text is an empty document (its end id alone).  Rows that repeat are packed each; extra
-columns are ignored; an empty table gives an empty result.
+Null text is an empty document (its end id alone); a null id stays null.  Rows that repeat are packed
+each; extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .tokens import encoder
+from .common import materialise, tidy
+from .tokens import PieceEncoder, encoder
 
-CAPACITY, UNIT, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 4096, 6, 6, 2, 12
-#: A bin at least this full stays at a level above the last.
-WELL_FILLED = 1.0
+CAPACITY, UNIT, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 4096, 6, 6, 3, 8
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"
 
 Bin = list[int]
@@ -48,7 +47,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """The pieces of every document, numbered per partition and length (``part``, ``nth``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        with encoder(tokenizer_path) as enc:
+            yield from encoded(batches, enc)
+
+    def encoded(batches: Iterator[pa.RecordBatch], enc: PieceEncoder) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -65,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(rows), PIECES)
 
 
 class BestFit:
@@ -190,16 +193,22 @@ def solve(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY)
     left, out = Counter(counts), Counter()
     if full := left.pop(capacity, 0):
         out[(capacity,)] += full
+    unit = max(UNIT, 2 * capacity)
     m = 1
-    while sum(left.values()) // m > UNIT:
+    while sum(n // m for n in left.values()) > unit:
         m *= 2
     while m:
-        unit = [length for length, n in sorted(left.items()) for _ in range(n // m)]
-        for b in solve_unit(spark, unit, capacity):
-            if m == 1 or sum(b) >= WELL_FILLED * capacity:
-                out[tuple(sorted(b, reverse=True))] += m
-                for length in b:
-                    left[length] -= m
+        sizes = [length for length, n in sorted(left.items()) for _ in range(n // m)]
+        if len(sizes) > unit:
+            raise AssertionError(f"{len(sizes)} pieces in a unit problem of {unit}")
+        back = 0
+        for b in sorted(solve_unit(spark, sizes, capacity), key=lambda b: (sum(b), b)):
+            if m > 1 and sum(b) < capacity and back + len(b) <= unit // 4:
+                back += len(b)
+                continue
+            out[tuple(sorted(b, reverse=True))] += m
+            for length in b:
+                left[length] -= m
         m //= 2
     return sorted(out.items())
 
@@ -219,8 +228,6 @@ def place(cut: DataFrame, solution: list[tuple[tuple[int, ...], int]], capacity:
         first += copies
     held = spark.sparkContext.broadcast({length: np.array(x, np.int64) for length, x in slots.items()})
     before = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 

@@ -7,7 +7,10 @@ vectors of a labelled sample of at most ``SAMPLE`` documents.  The labelled vect
 them, in blocks of rows, and its ``NEIGHBOURS`` nearest vote with a power of their similarity.
 
 Null, empty or blank text has no direction and gets the share of label 1 in the sample.  Without
-labelled rows every score is 0.5.  Repeated rows score alike; extra columns are ignored.
+labelled rows every score is 0.5.  An id with several labels counts with the greatest, one with
+several texts with the least.  Among neighbours of equal similarity any may vote (they lie at one
+distance).  Repeated rows score alike; a null id scores like any other; extra columns, whatever their
+names, are ignored by ``score`` and kept by ``accepted``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .labelled import sample
 
-SAMPLE, RANK, NEIGHBOURS, POWER, BLOCK = 8192, 48, 25, 8, 512
+SAMPLE, RANK, NEIGHBOURS, POWER, BLOCK = 8192, 48, 25, 8, 128
 #: Feature ranges: word shapes, pairs of shapes, hashed words, repetition counts.
 SHAPES, PAIRS, WORDS, REPEATS = 512, 512, 512, 4
 WIDTH = SHAPES + PAIRS + WORDS + REPEATS
@@ -32,15 +36,15 @@ _RUN = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Kinds of characters in order, runs as one: ``Ab-12!!`` is ``Aa-9!``."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUN.sub(r"\1", kinds)[:8]
+    """Kinds of characters of the whole word in order, runs as one: ``Ab-12!!`` is ``Aa-9!``."""
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return _RUN.sub(r"\1", kinds)
 
 
 class ShapedWords(dict):
     """word -> 52 bits of its hash and the number of its shape; bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -111,15 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Neighbours:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ShapedWords()
         for b in batches:
-            packed = [counts(t.as_py(), words).astype(np.uint16).tobytes() for t in b.column(0)]
+            packed = [counts(t.as_py(), words).astype(np.uint32).tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["counts", "label"])
 
-    got = sample(docs, labels, "quality", bound).mapInArrow(rows, "counts binary, label int").toArrow()  # bound rows of WIDTH counts
+    got = sample(docs, labels, "quality", bound).mapInArrow(tidy(rows), "counts binary, label int").toArrow()  # bound rows of WIDTH counts
     y = np.array(got.column("label").to_pylist(), np.float64)
     if not len(y):
         return Neighbours(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
     order = np.argsort([xxhash.xxh3_64_intdigest(c.as_py()) for c in got.column("counts")], kind="stable")
-    x = np.frombuffer(b"".join(c.as_py() for c in got.column("counts")), np.uint16).reshape(len(y), WIDTH)[order].astype(np.float32)
+    x = np.frombuffer(b"".join(c.as_py() for c in got.column("counts")), np.uint32).reshape(len(y), WIDTH)[order].astype(np.float32)
     y = y[order]
     idf = np.log1p(len(x) / (1 + (x > 0).sum(0))).astype(np.float32)
     x = weigh(x, idf)
@@ -144,7 +148,7 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
                 x = np.stack([counts(t.as_py(), words) for t in b.column(1)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(rows), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Neighbours, least: float = 0.3) -> DataFrame:
@@ -160,4 +164,4 @@ def accepted(docs: DataFrame, model: Neighbours, least: float = 0.3) -> DataFram
                 x = np.stack([counts(t.as_py(), words) for t in b.column(place)])
                 yield b.filter(pa.array(held.value.score(x) >= least))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), docs.schema)

@@ -2,14 +2,17 @@
 
 Every document gets word, symbol, line and repetition counts from built-in functions only.  Each
 (language, source) region builds one KLL sketch per metric over its documents that pass the
-base rule; sketches of a language's regions merge into the language's sketch, which serves
-regions too small for one of their own, and those of all languages into one that serves languages
-too small for theirs.  Robust fences from the sketches' quartiles and tails replace fixed cutoffs,
-and a join brings them to the documents.
-
-Null text counts as no text; null ``lang`` or ``source`` is a region of its own (``""``).  A
-table with fewer than ``min_docs`` usable documents has no fences: the base rule alone decides.  Repeated rows are judged one by one; extra columns are ignored; an empty table gives
-an empty result.
+base rule; sketches of a language's regions merge into the language's sketch, and those of all languages
+into one.  A region's thresholds come from its own sketch's tail quantiles and median, drawn towards its
+language's by ``PRIOR`` documents' worth of weight, and the language's towards the whole's likewise; so
+small regions lean on larger ones by degrees, without a switch, and no constant bounds a threshold.  The
+upper fence is the tail quantile plus ``REACH`` of its distance from the median, the lower one alike.  A
+join brings the fences to the documents; ``failed`` names the metrics that lie beyond theirs.
+
+Null text counts as no text; null ``lang`` or ``source`` is a region of its own (``""``).  Where no
+document passes the base rule there are no fences: the base rule alone decides.  Repeated rows are
+judged one by one; a null id is one more row; extra columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +23,18 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLANK = r"[\x20\x09-\x0D]+"
-#: metric -> (reject below the lower fence, reject above the upper one, least spread)
+#: metric -> (reject below the lower fence, reject above the upper one)
 METRICS = {
-    "mean_word_chars": (True, True, 0.05),
-    "symbols_per_word": (False, True, 0.002),
-    "dup_line_share": (False, True, 0.002),
-    "repeat_share": (False, True, 0.002),
+    "mean_word_chars": (True, True),
+    "symbols_per_word": (False, True),
+    "dup_line_share": (False, True),
+    "repeat_share": (False, True),
 }
 SKETCH_K = 4096
-MIN_DOCS = 50
-WIDTH = 4.0
-#: The spread to a side is the larger of the quartiles' distance and that from the median to this tail.
-TAIL = 0.1
+#: The tail that a fence starts from, how far it reaches beyond, and the weight of the wider region in documents.
+TAIL, REACH, PRIOR = 0.01, 0.5, 100.0
+#: A value this near a fence counts as on it, which is inside.
+EPSILON = 1e-9
 
 
 def _once(value: Column, body) -> Column:
@@ -82,7 +85,7 @@ def counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def fences(judged: DataFrame, min_docs: int = MIN_DOCS, k: int = SKETCH_K, width: float = WIDTH) -> DataFrame:
+def fences(judged: DataFrame, tail: float = TAIL, k: int = SKETCH_K, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
     """lang, source and for each metric its lower and upper fence (null: none)."""
     ok = ~F.col("base_failed")
     per = judged.groupBy("lang", "source").agg(
@@ -90,25 +93,26 @@ def fences(judged: DataFrame, min_docs: int = MIN_DOCS, k: int = SKETCH_K, width
     )
     by_lang = per.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n_of"), *(F.kll_merge_agg_double(f"s_{m}", F.lit(k)).alias(f"l_{m}") for m in METRICS))
     whole = by_lang.agg(F.sum("n_of").alias("n_all"), *(F.kll_merge_agg_double(f"l_{m}", F.lit(k)).alias(f"a_{m}") for m in METRICS))
-    both = per.join(by_lang, F.col("lang") == F.col("of")).join(F.broadcast(whole))  # one row
-    points = F.array(*map(F.lit, (TAIL, 0.25, 0.5, 0.75, 1 - TAIL)))
-    q = {
-        m: F.when(F.col("n") >= min_docs, F.kll_sketch_get_quantile_double(f"s_{m}", points)).when(
-            F.col("n_of") >= min_docs, F.kll_sketch_get_quantile_double(f"l_{m}", points)
-        ).when(F.col("n_all") >= min_docs, F.kll_sketch_get_quantile_double(f"a_{m}", points))
-        for m in METRICS
-    }
+    both = per.join(by_lang, F.col("lang") == F.col("of")).join(F.broadcast(whole)).where("n_all > 0")  # one row
+    points = F.array(*map(F.lit, (tail, 0.5, 1 - tail)))
+
+    def drawn(n: str, own: Column, wider: Column) -> Column:
+        """Quantiles of ``n`` documents' sketch, drawn towards the wider region's."""
+        quantiles = F.when(F.col(n) > 0, F.kll_sketch_get_quantile_double(own, points))
+        return F.when(F.col(n) > 0, F.zip_with(quantiles, wider, lambda x, y: (F.col(n) * x + prior * y) / (F.col(n) + prior))).otherwise(wider)
+
+    q = {m: drawn("n", F.col(f"s_{m}"), drawn("n_of", F.col(f"l_{m}"), F.kll_sketch_get_quantile_double(f"a_{m}", points))) for m in METRICS}
     found = both.select("lang", "source", *(q[m].alias(m) for m in METRICS))
     out = []
-    for m, (low, high, least) in METRICS.items():
-        tail, first, middle, third, top = (F.col(m)[i] for i in range(5))
-        below, above = (width * F.greatest(third - first, side, F.lit(least)) for side in (middle - tail, top - middle))
-        out += [(middle - below if low else F.lit(None).cast("double")).alias(f"{m}_low"), (middle + above if high else F.lit(None).cast("double")).alias(f"{m}_high")]
+    for m, (low, high) in METRICS.items():
+        bottom, middle, top = (F.col(m)[i] for i in range(3))
+        below, above = bottom - reach * (middle - bottom), top + reach * (top - middle)
+        out += [(below if low else F.lit(None).cast("double")).alias(f"{m}_low"), (above if high else F.lit(None).cast("double")).alias(f"{m}_high")]
     return found.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *out)
 
 
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = SKETCH_K, width: float = WIDTH) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` of every document, with its metrics and fences."""
+def apply_rules(docs: DataFrame, tail: float = TAIL, k: int = SKETCH_K, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
+    """Counts, ``base_failed``, ``failed`` and ``kept`` of every document, with its metrics and fences."""
     c = counts(docs)
     n = F.greatest("n_words", F.lit(1))
     judged = materialise(
@@ -122,9 +126,8 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = SKETCH_K, wi
         ),
         "quality-rules",
     )
-    f = fences(judged, min_docs, k, width)
+    f = fences(judged, tail, k, reach, prior)
     joined = judged.join(f, (F.col("lang") == F.col("f_lang")) & (F.col("source") == F.col("f_source")), "left")
-    inside = F.lit(True)
-    for m in METRICS:
-        inside &= (F.col(m) >= F.coalesce(f"{m}_low", F.lit(float("-inf")))) & (F.col(m) <= F.coalesce(f"{m}_high", F.lit(float("inf"))))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("f_lang", "f_source")
+    outside = [(F.col(m) < F.col(f"{m}_low") - EPSILON) | (F.col(m) > F.col(f"{m}_high") + EPSILON) for m in METRICS]
+    failed = F.filter(F.array(*(F.when(F.coalesce(o, F.lit(False)), F.lit(m)) for m, o in zip(METRICS, outside, strict=True))), lambda x: x.isNotNull())
+    return joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("f_lang", "f_source")

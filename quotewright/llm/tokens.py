@@ -13,7 +13,8 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 _SAFE = re.compile(r"(?<!\s)(?=[ \n]\S)")
 
@@ -21,7 +22,7 @@ _SAFE = re.compile(r"(?<!\s)(?=[ \n]\S)")
 class Pieces:
     """Packed ids by piece in two generations: a piece in use survives, others go in time."""
 
-    LIMIT = 600_000
+    LIMIT = 150_000
 
     def __init__(self, encode: Callable[[list[str]], list[bytes | None]]):
         self.encode, self.new, self.old = encode, {}, {}
@@ -125,11 +126,21 @@ class PieceEncoder:
         return out
 
 
+    def forget(self) -> None:
+        """Empty the caches, which else would stay in the worker after its task."""
+        for held in (self.words, self.pieces):
+            held.new, held.old = {}, {}
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file."""
+@contextmanager
+def encoder(path: str) -> Iterator[PieceEncoder]:
+    """The worker's encoder for a tokenizer file; its caches last as long as the task."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].forget()
