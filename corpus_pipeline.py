@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quotewright.llm import mixing, near_dedup, packing, quality_knn, substring_dedup
-from quotewright.llm.bitmaps import anti
-from quotewright.llm.common import materialise, table
+from quotewright.llm.common import discard, materialise, table
 from quotewright.llm.labelled import remainder
 
 
@@ -18,8 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each near-duplicate group (similarity 0.8 or more)."""
-    dropped = near_dedup.near_duplicates(docs, (80, 100)).where("not kept").select("doc_id")
-    return anti(docs, materialise(dropped.distinct(), "near-duplicates"), "doc_id")
+    return near_dedup.without_near_duplicates(docs, (80, 100))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
+    """All stages over ``documents``; each one's rows are written and read again, the former ones then deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = done
     return docs
