@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -64,8 +65,7 @@ def tokens(c: Column) -> Column:
 
 def content_words(words: Column, stopwords: list[str]) -> Column:
     """Words longer than one letter that are not in the list as it is written."""
-    stop = F.array(*map(F.lit, sorted(set(stopwords))))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(sorted(set(stopwords))))  # a hashed set
 
 
 def char_ngrams(c: Column, n: int = 4) -> Column:
@@ -137,6 +137,15 @@ def without_default_diacritics(c: Column) -> Column:
     return c
 
 
+def without_tatweel(c: Column) -> Column:
+    return F.replace(c, F.lit(t.TATWEEL), F.lit(""))
+
+
+def without_marks(c: Column) -> Column:
+    """Text without combining marks and tatweel, blanks as one."""
+    return squeeze(F.regexp_replace(c, f"[{t.STRICT_MARKS}]", ""))
+
+
 def clean_field(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\t\r\n]", " "))
 
@@ -151,22 +160,24 @@ def strip_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "))
 
 
-def offset_tokens(c: Column) -> Column:
-    """Tokens (word, start, end, boundary): half-open code-point offsets, and a strong stop after.
+_TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
 
-    Blank-separated words; a boundary is a stop among the last two characters or in the gap behind.
-    """
-    parts = F.split(c, r"(?<=\s)(?=\S)")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int,boundary:boolean>>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        word = F.regexp_extract(part, r"^\S*", 0)
-        start = acc["at"]
-        stop = F.substring(part, F.greatest(F.length(word) - 1, F.lit(1)), F.length(part)).rlike(_one_of(t.BOUNDARY_MARKS))
-        token = F.struct(word.alias("word"), start.alias("start"), (start + F.length(word)).alias("end"), stop.alias("boundary"))
-        return F.struct((start + F.length(part)).alias("at"), F.when(F.length(word) > 0, F.array_append(acc["out"], token)).otherwise(acc["out"]).alias("out"))
+def _offsets(text: str) -> list[dict]:
+    found = list(_TOKEN.finditer(text))
+    after = [*(m.start() for m in found[1:]), len(text)]
+    stops = t.BOUNDARY_MARKS
+    return [{"word": m[0], "start": m.start(), "end": m.end(), "boundary": any(c in stops for c in text[max(m.start(), m.end() - 2) : gap])} for m, gap in zip(found, after, strict=True)]
+
 
-    return once(parts, lambda p: F.aggregate(p, empty, step, lambda acc: acc["out"]))
+@arrow_udf("array<struct<word:string,start:int,end:int,boundary:boolean>>")
+def offset_tokens(c: pd.Series) -> pd.Series:
+    """Tokens (word, start, end, boundary): half-open code-point offsets, and a strong stop after.
+
+    Blank-separated words; a boundary is a stop among the last two characters or in the gap behind.  In Arrow
+    batches, because a fold in the JVM copies its array at each word.
+    """
+    return c.map(lambda x: _offsets(x or ""))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

@@ -9,11 +9,12 @@ from ..config import Settings
 from ..functions.kernels import best_window
 
 
-def correct(pairs: DataFrame) -> DataFrame:
+def correct(pairs: DataFrame, both: bool = False) -> DataFrame:
     """(qid, key, strength, full_ratio, passage) of the best passage per query.
 
     ``pairs`` holds (qid, quote, order, key, passage); a query's passages are bounded by its
-    retrieved seeds, so a group is small.
+    retrieved seeds, so a group is small.  With ``both`` the strength is the lesser of the quote's and the
+    passage's coverage, as a record that only holds the quote is no correction of it.
     """
     grouped = pairs.dropDuplicates(["qid", "key"]).groupBy("qid").agg(F.first("quote").alias("quote"), F.array_sort(F.collect_list(F.struct("order", "key", "passage"))).alias("p"))
 
@@ -23,7 +24,7 @@ def correct(pairs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for qid, quote, p in zip(b.qid, b.quote, b.p, strict=True):
-                found = best_window(quote, [(x["key"], x["passage"]) for x in p])
+                found = best_window(quote, [(x["key"], x["passage"]) for x in p], both)
                 if found:
                     rows.append((qid, *found[:3], found[3]))
             yield pd.DataFrame(rows, columns=["qid", "key", "strength", "full_ratio", "passage"])
@@ -76,10 +77,41 @@ def decide_flat(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return df.withColumn("d", rule).select("*", "d.status", "d.code").drop("d")
 
 
-def too_short(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Unverified spans of under three words found by rules go to review."""
-    short = (F.col("n_words") < settings.short_words) & (F.col("status") != "VERIFIED")
-    return df.withColumns({"status": F.when(short, F.lit("HUMAN_REVIEW")).otherwise(F.col("status")), "code": F.when(short, F.lit("too_short")).otherwise(F.col("code"))})
+def too_short(df: DataFrame, quoted: Column, settings: Settings = Settings()) -> DataFrame:
+    """Quoted spans of under three words go to review without a proposal; what ``quoted`` leaves out stays."""
+    short = quoted & (F.col("n_words") < settings.short_words)
+    out = {"status": F.when(short, F.lit("HUMAN_REVIEW")).otherwise(F.col("status")), "code": F.when(short, F.lit("too_short")).otherwise(F.col("code"))}
+    out |= {c: F.when(~short, F.col(c)) for c in ("correction", "suggestion") if c in df.columns}
+    return df.withColumns(out)
+
+
+def misattributed(label: Column, hint: Column, status: Column) -> Column:
+    """Note for a verified span that was announced as the other kind."""
+    own = F.when(label == "Ayah", F.lit("is_ayah")).otherwise(F.lit("is_hadith"))
+    return F.when((status == "VERIFIED") & hint.isNotNull() & (hint != label), own)
+
+
+def isolated(df: DataFrame, failed: Column) -> DataFrame:
+    """Spans that could not be processed go to review and leave the others alone."""
+    return df.withColumns({
+        "status": F.when(failed, F.lit("HUMAN_REVIEW")).otherwise(F.col("status")), "code": F.when(failed, F.lit("internal_error")).otherwise(F.col("code")),
+        **{c: F.when(~failed, F.col(c)) for c in ("evidence", "correction", "suggestion") if c in df.columns},
+    })
+
+
+def passages(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """(section, first, k, cited, text) of references to ``k`` consecutive records; one that lacks a record has none.
+
+    ``refs`` (section, first, k), ``records`` (section, pos, norm, text).
+    """
+    places = refs.select("section", "first", "k").distinct().withColumn("pos", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)))
+    r = places.join(records.select("section", "pos", "norm", "text"), ["section", "pos"]).groupBy("section", "first", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "text"))).alias("r"))
+    whole = r.where(F.size("r") == F.col("k"))
+    numbered = lambda x: F.when(F.col("k") > 1, F.format_string("%s (%d)", x["text"], x["pos"].cast("long"))).otherwise(x["text"])
+    return whole.select(
+        "section", "first", "k", F.array_join(F.transform("r", lambda x: x["norm"]), " ").alias("cited"), F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("source_text"),
+        F.array_join(F.transform("r", numbered), " ").alias("display"),
+    )
 
 
 def ground(df: DataFrame) -> DataFrame:

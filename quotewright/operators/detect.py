@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,14 +17,19 @@ from ..functions.text import tokens, trim_span
 from .spans import non_overlapping
 
 
+_PAIRED = [re.compile(f"{re.escape(left)}([\\s\\S]*?){re.escape(right)}") for left, right in t.BRACKETS]
+
+
 def segments(text: str) -> list[tuple[int, int]]:
-    """Inside of quotes (pairs if even in number, else every two neighbours) and of brackets."""
-    quotes = [i for i, c in enumerate(text) if c == '"']
-    step = 1 if len(quotes) % 2 else 2
-    found = [(a + 1, b) for a, b in zip(quotes[::step], quotes[1::step], strict=False)]
-    for left, right in t.BRACKETS:
-        found += [m.span(1) for m in re.finditer(f"{re.escape(left)}(.*?){re.escape(right)}", text, re.DOTALL)]
-    return found
+    """Inside of quotes and of brackets, as half-open places.
+
+    Quotes even in number pair up; an odd number leaves open which of them begin, so every two neighbours count.
+    """
+    parts = text.split('"')
+    marks = list(itertools.accumulate((len(p) + 1 for p in parts[:-1]), initial=-1))[1:]
+    between = list(itertools.pairwise(marks))
+    quoted = between if len(marks) % 2 else between[::2]
+    return [(a + 1, b) for a, b in quoted] + [m.span(1) for pattern in _PAIRED for m in pattern.finditer(text)]
 
 
 @arrow_udf("array<struct<start:int,end:int>>")
@@ -43,14 +50,53 @@ def trigger(context: Column) -> Column:
     return F.array_max(F.array(*options))["label"]
 
 
+def announces(text: Column, label: str) -> Column:
+    """Whether any trigger of ``label`` stands in ``text``."""
+    words = t.SEQUENCE_TRIGGERS if label == "Ayah" else t.FLAT_TRIGGERS
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def sequence_coverage(claims: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
+    """(qid, cover): the greatest share of a claim's distinct words in one to three consecutive records.
+
+    ``claims`` (qid, words), ``found`` (qid, idx) the best records of each; a window starts up to two records
+    before a found one and holds it.  It goes on over a record only if that shares a word of four letters or more.
+    """
+    words = claims.select("qid", F.array_distinct("words").alias("own")).where(F.size("own") > 0)
+    start = found.select("qid", "idx").join(records.select("idx", "section", F.col("pos").alias("at")), "idx").withColumn("first", F.explode(F.sequence(F.col("at") - 2, F.col("at"))))
+    starts = start.select("qid", "section", "at", "first").distinct()
+    places = starts.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("pos", F.col("first") + F.col("k"))
+    r = records.select("section", "pos", F.array_distinct("words").alias("theirs"))
+    rows = places.join(r, ["section", "pos"]).groupBy("qid", "section", "at", "first").agg(F.array_sort(F.collect_list(F.struct("k", "theirs"))).alias("r")).join(words, "qid")
+    shares = lambda x: F.exists(F.array_intersect("own", x["theirs"]), lambda w: F.length(w) >= 4)
+    none = F.array().cast("array<string>")
+    state = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), none.alias("held"), F.lit(0.0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes_on = acc["open"] & (x["k"] == acc["n"]) & ((x["k"] == 0) | shares(x))
+        held = F.when(goes_on, F.array_union(acc["held"], F.array_intersect("own", x["theirs"]))).otherwise(acc["held"])
+        counts = goes_on & (F.col("at") <= F.col("first") + x["k"])
+        best = F.when(counts, F.greatest(acc["best"], F.size(held) / F.size("own"))).otherwise(acc["best"])
+        return F.struct((acc["n"] + 1).alias("n"), goes_on.alias("open"), held.alias("held"), best.alias("best"))
+
+    return rows.select("qid", F.aggregate("r", state, step, lambda acc: acc["best"]).alias("cover")).groupBy("qid").agg(F.max("cover").alias("cover"))
+
+
+def flat_coverage(claims: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
+    """(qid, cover): the greatest share of a claim's distinct words in one of its best records."""
+    words = claims.select("qid", F.array_distinct("words").alias("own")).where(F.size("own") > 0)
+    j = found.select("qid", "idx").join(records.select("idx", F.array_distinct("words").alias("theirs")), "idx").join(words, "qid")
+    return j.groupBy("qid").agg(F.max(F.size(F.array_intersect("own", "theirs")) / F.size("own")).alias("cover"))
+
+
 def label_of(trigger_label: Column, cover: Column, cover_flat: Column, n_words: Column, settings: Settings = Settings()) -> Column:
     """Label by corpus coverage; a trigger settles near ties, and stands where coverage does not."""
-    seq, flat = (cover >= settings.quoted_coverage) & (n_words >= 4), (cover_flat >= settings.quoted_coverage_flat) & (n_words >= 4)
-    near = F.abs(cover - cover_flat) < 0.25
+    long = n_words >= 4
+    seq, flat = (cover >= settings.quoted_coverage) & long, (cover_flat >= settings.quoted_coverage_flat) & long
+    agrees = F.coalesce(F.when(trigger_label == "Ayah", seq).when(trigger_label == "Hadith", flat), F.lit(False))
     return (
-        F.when(seq & flat & near & trigger_label.isNotNull(), trigger_label)
-        .when(seq & flat, F.when(cover >= cover_flat, F.lit("Ayah")).otherwise(F.lit("Hadith")))
-        .when(seq, F.lit("Ayah"))
+        F.when(agrees & (F.abs(cover - cover_flat) < 0.25), trigger_label)
+        .when(seq & (~flat | (cover >= cover_flat)), F.lit("Ayah"))
         .when(flat, F.lit("Hadith"))
         .otherwise(trigger_label)
     )
@@ -65,8 +111,7 @@ def candidates(docs: DataFrame, normalise, settings: Settings = Settings()) -> D
     begin = F.greatest(F.col("start") - settings.context_chars, F.lit(0))
     cut = cut.withColumn("trigger", trigger(F.substring("text", begin + 1, F.col("start") - begin)))
     cut = cut.withColumn("words", tokens(normalise(F.col("span"))))
-    formulas = F.array(*map(F.lit, sorted({*t.FORMULA_WORDS})))
-    share = F.size(F.filter("words", lambda w: F.array_contains(formulas, w))) / F.greatest(F.size("words"), F.lit(1))
+    share = F.size(F.filter("words", lambda w: w.isin(sorted({*t.FORMULA_WORDS})))) / F.greatest(F.size("words"), F.lit(1))
     ok = (F.size("words") >= 2) & ((F.size("words") >= 3) | F.col("trigger").isNotNull()) & (share < settings.formula_share)
     return cut.where(ok).select("doc_id", "start", "end", "span", "trigger", F.size("words").alias("n_words"))
 

@@ -75,3 +75,19 @@ def record_windows(c: DataFrame, most: int = 8) -> DataFrame:
     ahead = c.withColumn("ahead", F.collect_list("norm").over(w.rowsBetween(0, most - 1)))
     spread = ahead.select("section", F.col("pos").alias("first"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("k"))
     return spread.select("section", "first", "k", F.array_join(F.slice("ahead", 1, F.col("k")), " ").alias("text"))
+
+
+def by_title(records: DataFrame) -> DataFrame:
+    """(rec_id, title, norm): the first record of each number and title, as evidence is cited."""
+    first = records.groupBy("rec_id", "title").agg(F.min("idx").alias("idx"))
+    return first.join(records.select("idx", "norm"), "idx").drop("idx")
+
+
+def exact_passages(claims: DataFrame, seeds: DataFrame, records: DataFrame, back: int = 3, most: int = 5) -> DataFrame:
+    """(qid): claims (qid, norm) that stand literally in one to ``most`` consecutive records around a seed (qid, idx)."""
+    at = seeds.join(records.select("idx", "section", "pos"), "idx").select("qid", "section", F.explode(F.sequence(F.col("pos") - back, "pos")).alias("first")).distinct()
+    places = at.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("pos", F.col("first") + F.col("at"))
+    r = places.join(records.select("section", "pos", "norm"), ["section", "pos"]).groupBy("qid", "section", "first").agg(F.array_sort(F.collect_list(F.struct("at", "norm"))).alias("r"))
+    run = F.aggregate("r", F.lit(0), lambda n, x: F.when(x["at"] == n, n + 1).otherwise(n))
+    text = F.array_join(F.transform(F.slice("r", 1, run), lambda x: x["norm"]), " ")
+    return r.where(run > 0).select("qid", text.alias("passage")).join(claims.select("qid", "norm"), "qid").where(F.contains("passage", "norm") & (F.length("norm") > 0)).select("qid").distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import edit_similarity, jaccard, lcs_length
+from ..functions.kernels import common_words_udf
+from ..functions.text import edit_similarity, jaccard
 
 # Weights by corpus and by length of the claim (short: under four tokens).
 WEIGHTS = {
@@ -28,7 +29,7 @@ def signals(df: DataFrame, kind: str, claim: str = "claim", source: str = "sourc
     part = words.withColumns({
         "token_overlap": F.when(full, jaccard(F.col("_cs"), F.col("_ss"))).otherwise(0.0),
         "coverage": F.when(full, F.size(F.array_intersect("_cs", "_ss")) / F.size("_cs")).otherwise(0.0),
-        "lcs_ratio": F.when(F.size("_c") > 0, lcs_length(F.col("_c"), F.col("_s")) / F.size("_c")).otherwise(0.0),
+        "lcs_ratio": F.when(F.size("_c") > 0, common_words_udf("_c", "_s") / F.size("_c")).otherwise(0.0),
         "edit_sim": edit,
         "diacritic_sim": edit_similarity(F.col(light_claim), F.col(light_source), 800) if light_claim else edit,
         "char_overlap": jaccard(chars(F.col("_cf")), chars(F.col("_sf"))),

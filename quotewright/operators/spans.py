@@ -78,6 +78,35 @@ def entity_spans(entities: DataFrame, settings: Settings = Settings(), key: str
     return merged.where(F.col("score") >= settings.entity_score).withColumn("score", F.round("score", 4))
 
 
+def with_model_spans(found: DataFrame, model: DataFrame, docs: DataFrame, least_words: int = 3, key: str = "doc_id") -> DataFrame:
+    """``found`` and the spans of a model that lie in its gaps, from the left, of ``least_words`` words or more.
+
+    ``found`` (doc_id, start, end, label, hint, source), ``model`` (doc_id, label, start, end, ...), ``docs`` (doc_id, text).
+    """
+    m = model.select(key, "start", "end", "label").join(docs.select(key, "text"), key).where((F.col("end") > F.col("start")) & (F.col("end") <= F.length("text")))
+    words = F.filter(F.split(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), r"\s+"), lambda w: w != "")
+    free = without_overlap(m.where(F.size(words) >= least_words).select(key, "start", "end", "label"), found, key)
+    # among themselves the first from the left stays
+    kept = non_overlapping(free, [F.col("start"), F.col("end"), F.col("label")], key)
+    return found.unionByName(kept.select(key, "start", "end", "label", F.lit(None).cast("string").alias("hint"), F.lit("model").alias("source")))
+
+
+def token_labels(labels: Column, tokens: Column) -> Column:
+    """BIO label of each token from labels per character: its first character's, ``B-`` where that begins anew."""
+    own = F.transform(tokens, lambda t: F.get(labels, t["start"]))
+    joined = lambda i: (i > 0) & (F.get(own, i - 1) == F.get(own, i))
+    return F.transform(own, lambda x, i: F.when(x == "O", x).otherwise(F.concat(F.when(joined(i), "I-").otherwise("B-"), x)))
+
+
+def spans_of_labels(labelled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, label, start, end) of runs of BIO tokens; ``labelled`` (doc_id, tokens, labels)."""
+    t = labelled.select(key, F.posexplode(F.arrays_zip("tokens", "labels")).alias("i", "t")).select(key, "i", "t.tokens.start", "t.tokens.end", F.col("t.labels").alias("bio"))
+    w = Window.partitionBy(key).orderBy("i")
+    t = t.withColumn("label", F.regexp_replace("bio", "^[BI]-", "")).withColumn("new", (F.col("bio").startswith("B-") | (F.lag("label").over(w) != F.col("label")) | (F.col("i") == 0)).cast("int"))
+    g = t.withColumn("g", F.sum(F.coalesce("new", F.lit(1))).over(w)).where("label <> 'O'").groupBy(key, "g")
+    return g.agg(F.first("label").alias("label"), F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+
+
 def iou(a: Column, b: Column) -> Column:
     both = F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
     either = (a["end"] - a["start"]) + (b["end"] - b["start"]) - both
@@ -100,6 +129,17 @@ def char_labels(spans: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(by_length, F.lit("O"), lambda acc, x: F.when((x["s"]["start"] <= i) & (i < x["s"]["end"]), x["s"]["label"]).otherwise(acc)))
 
 
+def padded_windows(size: Column, width: int = 512, stride: int = 256) -> Column:
+    """(from, to) of overlapping model windows over ``size`` tokens; the last ones are short and to be padded."""
+    return F.when(size <= 0, F.array().cast("array<struct<from:int,to:int>>")).otherwise(F.transform(F.sequence(F.lit(0), size - 1, F.lit(stride)), lambda a: F.struct(a.alias("from"), F.least(a + width, size).alias("to"))))
+
+
+def overlap_share(a: Column, b: Column) -> Column:
+    """The part of ``b`` that ``a`` covers."""
+    both = F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
+    return both / F.greatest(F.lit(1), b["end"] - b["start"])
+
+
 def sliding(size: Column, whole: int = 40, width: int = 24, stride: int = 12, tail: int = 6) -> Column:
     """(from, to) windows over ``size`` tokens: one if short, else strided ones."""
     many = F.transform(F.sequence(F.lit(0), F.greatest(size - tail - 1, F.lit(0)), F.lit(stride)), lambda a: F.struct(a.alias("from"), F.least(a + width, size).alias("to")))

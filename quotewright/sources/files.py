@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -113,3 +115,74 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def examples(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Example rows of a JSON list; a file that is missing or no list gives none."""
+    try:
+        df = json_list(spark, path, schema)
+        df.head(1)
+        return df
+    except Exception:  # examples are a help, not a need
+        return spark.createDataFrame([], schema)
+
+
+def signature(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names and sizes of input files, to key what is derived from them."""
+    sc = spark.sparkContext
+    parts = []
+    for p in sorted(paths):
+        where = sc._jvm.org.apache.hadoop.fs.Path(p)
+        status = where.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(where)
+        parts.append(f"{where.getName()}:{status.getLength()}")
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
+
+
+def cached(spark: SparkSession, root: str, inputs: list[str], names: list[str], build) -> dict[str, DataFrame]:
+    """Tables derived from ``inputs``, stored under their signature; other inputs are another folder."""
+    return load_or_build(spark, f"{root}/{signature(spark, inputs)}", names, build)
+
+
+def warm(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Read tables once into the cluster's memory; their row counts."""
+    return {n: t.cache().count() for n, t in tables.items()}
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def unified_dataset(spark: SparkSession, path: str, schema: StructType | str, synthetic: int, build) -> DataFrame:
+    """A stored dataset of JSON lines, made anew where it is missing or has another number of synthetic rows."""
+    try:
+        df = json_lines(spark, path, schema)
+        if df.where("source = 'synthetic'").count() == synthetic:
+            return df
+    except Exception:  # no dataset yet
+        pass
+    write_json_lines(build(), path)
+    return json_lines(spark, path, schema)
+
+
+def write_evaluation(tables: dict[str, DataFrame], path: str) -> None:
+    """Evaluation tables (a few rows each) as one JSON object of lists."""
+    one = None
+    for name, df in tables.items():
+        rows = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
+        one = rows if one is None else one.join(F.broadcast(rows))
+    pairs = [x for n in tables for x in (F.lit(f'"{n}": '), F.col(n), F.lit(", "))][:-1]
+    one.select(F.concat(F.lit("{"), *pairs, F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_text_report(found: DataFrame, path: str) -> None:
+    from ..operators.report import text_report
+
+    text_report(found).select("value").write.mode("overwrite").text(path)
+
+
+def build_index(spark: SparkSession, source: str, path: str, schema: str, profile: str = "arabic") -> None:
+    """Index a JSON list of records (idx, section, pos, text) at ``source`` and store it at ``path``."""
+    from ..functions import text
+    from ..plans.verify import Corpus
+
+    save_index(Corpus.build(json_list(spark, source, schema), text.ARABIC if profile == "arabic" else text.LATIN).tables(), path)
