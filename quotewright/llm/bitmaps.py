@@ -15,6 +15,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BITS = 1 << 23
 
 
@@ -22,36 +24,47 @@ def _spot(key: np.ndarray, bits: int) -> np.ndarray:
     return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
-def bitmap(keys: DataFrame, bits: int = BITS) -> Broadcast:
-    """Broadcast bitmap of the one long column of ``keys``; ``bits`` is a power of two."""
+def _bitmaps(keys: DataFrame, levels: int, bits: int) -> list[Broadcast]:
+    """A bitmap for each level of ``keys`` (a long key, its level from 1 on): level k holds the keys of level k and up."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
+        seen: dict[int, np.ndarray] = {}
         for b in batches:
-            at = np.unique(_spot(b.column(0).to_numpy(zero_copy_only=False), bits))
-            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        pages = seen.reshape(-1, min(4096, len(seen)))
-        used = np.flatnonzero(pages.any(1))
-        for i in range(0, len(used), 256):
-            part = used[i : i + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([pages[p].tobytes() for p in part], pa.binary())], names=["page", "bits"])
+            key, level = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k in range(1, levels + 1):
+                if (level >= k).any():
+                    at = np.unique(_spot(key[level >= k], bits))
+                    own = seen.setdefault(k, np.zeros(bits // 8, np.uint8))
+                    np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        for k, own in seen.items():
+            pages = own.reshape(-1, min(4096, len(own)))
+            used = np.flatnonzero(pages.any(1))
+            for i in range(0, len(used), 256):
+                part = used[i : i + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array([pages[p].tobytes() for p in part], pa.binary())], names=["level", "page", "bits"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: dict[int, np.ndarray] = {}
+        whole: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for page, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for level, page, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.frombuffer(x, np.uint8)
-                whole[page] = x if page not in whole else whole[page] | x
+                whole[level, page] = x if (level, page) not in whole else whole[level, page] | x
         if whole:
-            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names=["page", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in whole], pa.int32()), pa.array([p for _, p in whole], pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names=["level", "page", "bits"])
 
-    schema = "page int, bits binary"
-    pages = keys.mapInArrow(partial, schema).repartition("page").mapInArrow(merged, schema).collect()  # bits / 8 bytes at most
-    out = np.zeros(bits // 8, np.uint8)
-    width = min(4096, len(out))
+    schema = "level int, page int, bits binary"
+    pages = keys.mapInArrow(tidy(partial), schema).repartition("level", "page").mapInArrow(tidy(merged), schema).collect()  # levels * bits / 8 bytes at most
+    out = [np.zeros(bits // 8, np.uint8) for _ in range(levels)]
+    width = min(4096, bits // 8)
     for r in pages:
-        out[r.page * width : (r.page + 1) * width] |= np.frombuffer(r.bits, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(out)
+        out[r.level - 1][r.page * width : (r.page + 1) * width] |= np.frombuffer(r.bits, np.uint8)
+    sc = keys.sparkSession.sparkContext
+    return [sc.broadcast(x) for x in out]
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> Broadcast:
+    """Broadcast bitmap of the one long column of ``keys``; ``bits`` is a power of two."""
+    return _bitmaps(keys.select(keys.columns[0], F.lit(1).alias("level")), 1, bits)[0]
 
 
 def may_hold(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -69,7 +82,7 @@ def _by_bitmap(rows: DataFrame, key: str, held: Broadcast, wanted: bool) -> Data
             maybe = may_hold(held.value, pc.fill_null(column, 0).to_numpy(zero_copy_only=False)) | column.is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(maybe == wanted))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(tidy(keep), rows.schema)
 
 
 def likely(rows: DataFrame, key: str, held: Broadcast) -> DataFrame:
@@ -90,7 +103,11 @@ def hot_keys(counts: DataFrame) -> list[Broadcast]:
     """Bitmaps of the keys of ``counts`` (a long key, its number of rows) over each level's bound."""
     key, n = counts.columns
     most = counts.agg(F.max(n)).first()[0] or 0
-    return [bitmap(counts.where(F.col(n) > HOT * FAN**k).select(key)) for k in range(LEVELS) if most > HOT * FAN**k]
+    levels = sum(most > HOT * FAN**k for k in range(LEVELS))
+    if not levels:
+        return []
+    level = sum(((F.col(n) > HOT * FAN**k).cast("int") for k in range(levels)), F.lit(0))
+    return _bitmaps(counts.where(F.col(n) > HOT).select(key, level.alias("level")), levels, BITS)
 
 
 def _salted(rows: DataFrame, key: str, hot: list[Broadcast]) -> DataFrame:
@@ -105,7 +122,7 @@ def _salted(rows: DataFrame, key: str, hot: list[Broadcast]) -> DataFrame:
                 level += may_hold(h.value, keys)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(FAN**level)], names=[*b.schema.names, "salts"])
 
-    return rows.mapInArrow(add, rows.select("*", F.lit(0).cast("long").alias("salts")).schema)
+    return rows.mapInArrow(tidy(add), rows.select("*", F.lit(0).cast("long").alias("salts")).schema)
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: list[Broadcast], spread: list[str], how: str = "inner", also: Sequence[str] = ()) -> DataFrame:

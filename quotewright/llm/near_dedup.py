@@ -212,7 +212,7 @@ def candidates(members: DataFrame) -> DataFrame:
         yield from _pair_batches(found())
 
     salted = members.select("key", F.when(F.col("n") > DEALT, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / DEALT))).otherwise(0).alias("salt"), "order", "lead", "id", "n")
-    return salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "order", "id").mapInArrow(rows, "a long, b long").distinct()
+    return salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "order", "id").mapInArrow(tidy(rows), "a long, b long").distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def screened(pairs: DataFrame, nodes: DataFrame, hot: list, forest: Forest) -> D
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
 
     sized = _both(pairs, nodes, ["sketch", "n_shingles"], hot).where(forest.whole * F.least("n_shingles_a", "n_shingles_b") >= forest.part * F.greatest("n_shingles_a", "n_shingles_b"))
-    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(rows, "a long, b long, same int")
+    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidy(rows), "a long, b long, same int")
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -254,7 +254,8 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.rows.start, len(c.rows)), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     thin = likely(_keyed(docs), "tag", bitmap(chosen.select("tag")))
-    found = thin.join(chosen.select(F.col("doc_id").alias("of"), F.col("tag").alias("with"), "id"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("with")))
+    # a merge join puts the Python steps before and behind it into stages of their own, so a task has one worker
+    found = thin.join(chosen.select(F.col("doc_id").alias("of"), F.col("tag").alias("with"), "id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("with")))
     return found.select("id", "text").mapInArrow(tidy(rows), "id long, shingles binary").dropDuplicates(["id"])
 
 
@@ -271,7 +272,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hot: list, forest: Forest) -> D
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return _both(pairs.select("a", "b"), sets, ["shingles"], hot).select("a", "b", "shingles_a", "shingles_b").mapInArrow(rows, "a long, b long")
+    return _both(pairs.select("a", "b"), sets, ["shingles"], hot).select("a", "b", "shingles_a", "shingles_b").mapInArrow(tidy(rows), "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
@@ -326,7 +327,7 @@ def block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, hot: list,
         yield from _pair_batches(found())
 
     dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(rows), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, link: tuple[int, int] = (85, 100)) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, tidy
-from .tokens import PieceEncoder, encoder
+from .tokens import CACHED, PieceEncoder, encoder
 
 CAPACITY, UNIT, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 4096, 6, 6, 3, 8
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"
@@ -43,11 +43,11 @@ PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 lo
 Bin = list[int]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2, cached: int = CACHED) -> DataFrame:
     """The pieces of every document, numbered per partition and length (``part``, ``nth``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(tokenizer_path) as enc:
+        with encoder(tokenizer_path, cached) as enc:
             yield from encoded(batches, enc)
 
     def encoded(batches: Iterator[pa.RecordBatch], enc: PieceEncoder) -> Iterator[pa.RecordBatch]:
@@ -249,8 +249,11 @@ def place(cut: DataFrame, solution: list[tuple[tuple[int, ...], int]], capacity:
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    cut = materialise(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2, cached: int = CACHED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    ``cached`` words stay encoded in a worker: more take memory, fewer time; the result is the same.
+    """
+    cut = materialise(pieces(docs, tokenizer_path, capacity, end_id, cached), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     return place(cut, solve(docs.sparkSession, counts, capacity), capacity)

@@ -35,14 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, likely, may_hold, unlikely
+from .bitmaps import FAN, bitmap, hot_keys, likely, may_hold, unlikely
 from .common import discard, materialise, text_tag, tidy
 from .wordhash import Chunk, chunks, sequence_hashes, sliding
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1
-#: An anchor with ``SLICE`` x ``FAN``**k occurrences is dealt over ``FAN``**(k+1) salts, up to ``LEVELS`` times.
-SLICE, FAN, LEVELS = 128, 16, 6
 #: Windows that a worker holds at once.
 HELD = 400_000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
@@ -298,16 +296,16 @@ def _sliced(blocks: DataFrame) -> DataFrame:
             taken = b.take(pa.array(pairs[:, 0]))
             yield pa.RecordBatch.from_arrays([*taken.columns[:6], pa.array(pairs[:, 1].astype(np.int32)), _binaries(data, size)], names=_FOUND_NAMES)
 
-    return blocks.mapInArrow(rows, FOUND)
+    return blocks.mapInArrow(tidy(rows), FOUND)
 
 
 def repeats(docs: DataFrame, with_documents: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents: sid, tag, n_words, sha; runs: removed windows ``runs`` by sid and tag)."""
     anchors = materialise(anchor_counts(docs).where("twice").select("anchor", "times"), "anchors")
-    per = anchors.agg(F.count("*").alias("n"), F.max("times").alias("most")).first()
+    per = anchors.agg(F.count("*").alias("n")).first()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * per.n).bit_length()))
     repeated = bitmap(anchors.select("anchor"), bits)
-    hot = [bitmap(anchors.where(F.col("times") > SLICE * FAN**k).select("anchor")) for k in range(LEVELS) if (per.most or 0) > SLICE * FAN**k]
+    hot = hot_keys(anchors.select("anchor", "times"))
     discard(anchors)
     found = materialise(_extended(docs, repeated, hot, with_documents), "windows")
     salt = F.pmod(F.xxhash64("sid", "tag"), F.pow(F.lit(FAN), "level").cast("long"))
@@ -350,7 +348,7 @@ def removals(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["sid", "tag", "n_removed", "kept_sha"])
 
     thin = likely(_keyed(docs), "sid", bitmap(runs.select("sid")))
-    changed = thin.join(runs, ["sid", "tag"]).select("sid", "tag", "text", "runs").mapInArrow(tidy(rows), "sid long, tag long, n_removed long, kept_sha binary")
+    changed = thin.join(runs.hint("merge"), ["sid", "tag"]).select("sid", "tag", "text", "runs").mapInArrow(tidy(rows), "sid long, tag long, n_removed long, kept_sha binary")
     out = documents.join(changed.dropDuplicates(["sid", "tag"]), ["sid", "tag"], "left")
     return out.select(
         F.nullif("sid", F.lit(NULL_ID)).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256")
@@ -385,7 +383,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row], names=["row"])
 
     held = bitmap(runs.select("sid"))
-    touched = likely(rows_of, "sid", held).join(runs, ["sid", "tag"], "left").select("row", "runs")
+    touched = likely(rows_of, "sid", held).join(runs.hint("merge"), ["sid", "tag"], "left").select("row", "runs")
     schema = touched.select("row").schema
     whole = touched.mapInArrow(tidy(rows), schema).unionByName(unlikely(rows_of, "sid", held).select("row"))
     return whole.select("row.*")

@@ -19,17 +19,19 @@ from contextlib import contextmanager
 _SAFE = re.compile(r"(?<!\s)(?=[ \n]\S)")
 
 
+#: Words that a worker keeps encoded at least, over its tasks.
+CACHED = 600_000
+
+
 class Pieces:
     """Packed ids by piece in two generations: a piece in use survives, others go in time."""
 
-    LIMIT = 150_000
-
     def __init__(self, encode: Callable[[list[str]], list[bytes | None]]):
-        self.encode, self.new, self.old = encode, {}, {}
+        self.encode, self.new, self.old, self.limit = encode, {}, {}, CACHED
 
     def fetch(self, pieces: set[str]) -> dict[str, bytes | None]:
         """The cache, holding at least ``pieces``."""
-        if len(self.new) + len(pieces) > self.LIMIT:
+        if len(self.new) + len(pieces) > self.limit:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         missing = []
@@ -126,21 +128,24 @@ class PieceEncoder:
         return out
 
 
-    def forget(self) -> None:
-        """Empty the caches, which else would stay in the worker after its task."""
+    def bound(self, cached: int) -> None:
+        """Keep ``cached`` words and pieces each; under the usual number the caches are emptied, to free memory."""
         for held in (self.words, self.pieces):
-            held.new, held.old = {}, {}
+            held.limit = cached
+            if cached < CACHED:
+                held.new, held.old = {}, {}
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[PieceEncoder]:
-    """The worker's encoder for a tokenizer file; its caches last as long as the task."""
+def encoder(path: str, cached: int = CACHED) -> Iterator[PieceEncoder]:
+    """The worker's encoder for a tokenizer file; a smaller cache than usual lasts as long as the task."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].bound(cached)
     try:
         yield _encoders[path]
     finally:
-        _encoders[path].forget()
+        _encoders[path].bound(cached)

@@ -147,7 +147,7 @@ def test_pipeline_links_from_four_fifths(spark):
 @pytest.mark.parametrize("slice_", [None, 1])
 def test_repeats_equal_brute_force(docs, texts, slice_, monkeypatch):
     if slice_:  # every repeated anchor is dealt twice
-        monkeypatch.setattr(substring_dedup, "SLICE", slice_)
+        monkeypatch.setattr(bitmaps, "HOT", slice_)
         monkeypatch.setattr(substring_dedup, "HELD", 100)
     seen, got = set(), {r.doc_id: r for r in substring_dedup.removals(docs).collect()}
     for i in sorted(texts):
