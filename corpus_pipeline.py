@@ -34,7 +34,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Token pieces with their place in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the stages share their workers, so the encoder keeps less than where it runs alone
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=60_000)
 
 
 STAGES = [
