@@ -112,7 +112,8 @@ def _taken(docs: DataFrame, budget: float | None, entropy_share: float, repeats:
     rows = rows.withColumn("block", F.pmod("spot", F.lit(BLOCKS)).cast("int"))
     narrow = materialise(rows.select("source", "block", F.shiftright("spot", 8).alias("spot"), "tokens"), "mixing")
     blocks = materialise(narrow.groupBy("source", "block").agg(F.sum("tokens").alias("t")), "mixing-blocks")
-    quotas = materialise(weights(blocks.groupBy("source").agg(F.sum("t").alias("t")), budget, entropy_share, repeats), "mixing-quotas")
+    sums = materialise(blocks.groupBy("source").agg(F.sum("t").alias("t")), "mixing-sources")  # read at each step of the search
+    quotas = materialise(weights(sums, budget, entropy_share, repeats), "mixing-quotas")
     per = blocks.join(quotas.withColumnRenamed("t", "whole"), "source").withColumns({"passes": F.floor(F.col("quota") / F.col("whole")).cast("int"), "rest": F.col("quota") % F.col("whole")})
 
     def rooms(parts: DataFrame, order: list) -> DataFrame:
