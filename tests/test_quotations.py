@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quotewright.config import ScanSettings
 from quotewright.functions import kernels as k
 from quotewright.functions import text as x
-from quotewright.operators import decide, detect, evaluate, index, report, scan, spans, synth
+from quotewright.operators import decide, detect, evaluate, index, report, retrieve, scan, spans, synth
 from quotewright.plans import catalogue, quotations, verify
 from quotewright.sources import files
 
@@ -214,3 +214,43 @@ def test_sequenced_search_reads_extra_words(spark):
     c = verify.Corpus.build(r, x.LATIN)
     assert {p.term for p in c.postings.where("idx = 1").collect()} == {"copper", "lanterns", "glow"}
     assert index.vocabulary(c.records).count() == 3
+
+
+def test_ngrams_are_cut_in_one_walk(spark):
+    text = "ab😀é cdab😀é x" * 3
+    df = spark.createDataFrame([(text,), ("abc",), ("",)], "t string").select(x.char_ngrams(F.col("t"), 4).alias("g"))
+    assert [sorted(r.g) for r in df.collect()] == [sorted({text[i : i + 4] for i in range(len(text) - 3)}), [], []]
+    assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString()  # it counts from the text's begin each time
+
+
+def test_tables_of_the_asked_terms_give_the_same_scores(spark):
+    docs = [(1, "copper lanterns glow, copper river"), (2, "river salt"), (3, None), (2, "salt salt lanterns and amber"), (4, "")]
+    c = index.normalised(spark.createDataFrame(docs, "idx long, text string"), x.LATIN)
+    terms = spark.createDataFrame([(7, "copper"), (7, "salt"), (8, "salt"), (8, "nowhere")], "qid long, term string")
+    post, stats = index.postings(c, x.LATIN), index.doc_stats(c, x.LATIN)
+    totals = index.corpus_stats(stats)
+    whole = retrieve.bm25(terms, post, stats, index.term_stats(post, totals), totals)
+    post, stats, totals, idf = index.asked(c, terms, x.LATIN)
+    assert {r.term for r in post.collect()} == {"copper", "salt"} and totals.first().n == 5
+    assert sorted(map(tuple, retrieve.by_weights(terms, retrieve.weights(post, stats, idf, totals)).collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("name", ["ngram_cosine_rerank", "lcs_ratio", "seq_blocks", "composite", "verify_flat"])
+def test_whole_texts_are_not_shuffled(spark, tmp_path, name):
+    docs = [(i, " ".join(f"w{i * 7 % 40}x{i * k % 997}" for k in range(900))) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, docs[i][1][:90]) for i in range(2)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda s: len(s) - len(s.lstrip(" :+-"))
+    for i in [i for i, s in enumerate(plan) if "FileScan" in s and "documents.parquet" in s]:
+        above, at = [], depth(plan[i])
+        for s in reversed(plan[:i]):
+            if depth(s) < at:
+                above, at = [*above, s], depth(s)
+        join = next(k for k, s in enumerate(above) if "Join" in s)
+        assert "BroadcastHashJoin" in above[join] and not any("Exchange" in s for s in above[:join])
