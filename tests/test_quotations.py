@@ -258,3 +258,16 @@ def test_whole_texts_are_not_shuffled(spark, tmp_path, name):
                 above, at = [*above, s], depth(s)
         join = next(k for k, s in enumerate(above) if "Join" in s)
         assert "BroadcastHashJoin" in above[join] and not any("Exchange" in s for s in above[:join])
+
+
+def test_runs_are_cut_without_a_fold(spark):
+    t = "array<struct<word:string,start:int,end:int,boundary:boolean>>"
+    rows = [(1, [("a", 0, 1, False), ("b", 2, 3, False), ("c", 4, 5, True), ("d", 6, 7, False)], [(2, 3)]), (2, [("a", 0, 1, False)], []), (3, [], []), (4, [("a", 0, 1, False)], [(0, 9)])]
+    df = spark.createDataFrame(rows, f"i int, tokens {t}, taken array<struct<start:int,end:int>>").select("i", spans.runs(F.col("tokens"), F.col("taken")).alias("r"))
+    assert {r.i: [[w.word for w in run] for run in r.r] for r in df.collect()} == {1: [["a"], ["c", "d"]], 2: [["a"]], 3: [], 4: []}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()  # it copies its runs at each token
+
+
+def test_tokens_of_empty_texts(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "é😀. x…\n y")], "i int, t string").select("i", x.offset_tokens(F.col("t")).alias("t"))
+    assert {r.i: [tuple(w) for w in r.t] for r in df.collect()} == {1: [], 2: [], 3: [], 4: [("é😀.", 0, 3, True), ("x…", 4, 6, True), ("y", 8, 9, False)]}
