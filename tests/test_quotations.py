@@ -271,3 +271,18 @@ def test_runs_are_cut_without_a_fold(spark):
 def test_tokens_of_empty_texts(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "é😀. x…\n y")], "i int, t string").select("i", x.offset_tokens(F.col("t")).alias("t"))
     assert {r.i: [tuple(w) for w in r.t] for r in df.collect()} == {1: [], 2: [], 3: [], 4: [("é😀.", 0, 3, True), ("x…", 4, 6, True), ("y", 8, 9, False)]}
+
+
+def test_only_windows_with_a_records_blocks_are_searched(spark):
+    flat = "an old merchant counted his silver coins near the walnut gate at midnight"
+    split = "old merchant counted some things and then silver coins near it"  # two blocks of three
+    texts = [(1, f"it is told that {flat} as we know"), (2, f"nobody said {split} again"), (3, "plain words of no record at all stand here today"), (4, "the old merchant counted nothing else today or tomorrow")]
+    records = spark.createDataFrame([(1, 1, 1, flat), (2, 2, 1, "another record that nobody quotes in any of these texts")], "idx long, section long, pos long, text string")
+    c = verify.Corpus.build(records, x.LATIN)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    r = verify.runs(docs, docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0), x.LATIN).withColumn("doc_id", F.col("run.doc_id")).drop("run")
+    every, some = scan.flat_windows(r, x.LATIN), scan.flat_windows(r, x.LATIN, shared=scan.shared_blocks(r, c.records))
+    assert {w.doc_id for w in every.collect()} == {1, 2, 3, 4} and {w.doc_id for w in some.collect()} == {1, 2}
+    cfg = ScanSettings(ratio=0.1, flat_idf=0.0)
+    found = [sorted(tuple(f) for f in scan.flat_scan(w, w.select("qid", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx"), F.lit(1).alias("rank")), c.records, c.terms, cfg).collect()) for w in (every, some)]
+    assert found[0] == found[1] and {f[0] for f in found[0]} == {1, 2}
